@@ -48,6 +48,7 @@ def entity_vs_average(
     metrics: Sequence[str],
     pct_metrics: Sequence[str] = (),
     scale: int | None = None,
+    text_decimals: int = 1,
 ) -> DataFrame:
     """Each entity's metrics next to the mean of all.
 
@@ -59,7 +60,7 @@ def entity_vs_average(
     return compared.withColumns(
         {
             f"{m}_text": F.concat(
-                signed_text(f"{m}_dev", 1, "%" if m in pct_metrics else ""),
+                signed_text(f"{m}_dev", text_decimals, "%" if m in pct_metrics else ""),
                 F.lit(" vs league avg"),
             )
             for m in metrics

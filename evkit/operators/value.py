@@ -17,13 +17,14 @@ def expected_value(
 
 
 def over_under_games(
-    ev: DataFrame, game: str, entity: str, xp: str = "xp", pts: str = "pts"
+    ev: DataFrame, game: str, entity: str | None = None, xp: str = "xp", pts: str = "pts"
 ) -> DataFrame:
     """Per (game, entity): sums, `over` yes/no, `delta` and `delta_pct`.
 
-    `delta_pct` is null where nothing was expected.
+    `delta_pct` is null where nothing was expected. Where a game has one entity, leave `entity`
+    out and join the entity to the sums: fewer rows meet the joins.
     """
-    sums = ev.groupBy(game, entity).agg(
+    sums = ev.groupBy(game, *([entity] if entity else [])).agg(
         F.coalesce(F.sum(xp), F.lit(0.0)).alias("total_xp"),
         F.coalesce(F.sum(pts), F.lit(0)).alias("total_pts"),
     )
