@@ -47,27 +47,32 @@ def valued_lines(t: Tables) -> DataFrame:
 
 
 def order_owners(t: Tables) -> DataFrame:
-    """One row per order: game, player, team, conf."""
+    """One row per order: game, player, team."""
     owners = denormalize(
         t("orders").select("o_orderkey", "o_custkey"),
         [
             (t("customer").select("c_custkey", "c_nationkey"), {"o_custkey": "c_custkey"}, ""),
-            (t("nation"), {"c_nationkey": "n_nationkey"}, ""),
-            (t("region"), {"n_regionkey": "r_regionkey"}, ""),
+            (t("nation").select("n_nationkey", "n_name"), {"c_nationkey": "n_nationkey"}, ""),
         ],
     )
     return owners.select(
         F.col("o_orderkey").alias("game"),
         F.col("o_custkey").alias("player"),
         F.col("n_name").alias("team"),
-        F.col("r_name").alias("conf"),
     )
 
 
+def conferences(t: Tables) -> DataFrame:
+    """One row per team: its conference."""
+    regions = denormalize(t("nation"), [(t("region"), {"n_regionkey": "r_regionkey"}, "")])
+    return regions.select(F.col("n_name").alias("team"), F.col("r_name").alias("conf"))
+
+
 def attempts(t: Tables) -> DataFrame:
     """Scored attempts with game, player, team and conf."""
     lines = valued_lines(t).select(F.col("l_orderkey").alias("line_game"), "xp", "pts")
-    return denormalize(lines, [(order_owners(t), {"line_game": "game"}, "")]).withColumnRenamed(
+    owned = denormalize(lines, [(order_owners(t), {"line_game": "game"}, "")])
+    return denormalize(owned, [(conferences(t), {"team": "team"}, "")]).withColumnRenamed(
         "line_game", "game"
     )
 
