@@ -37,7 +37,7 @@ def brute_force(rows, mode):
     return out
 
 
-def random_rows(n=600, seed=7):
+def random_rows(n=300, seed=7):
     rng = random.Random(seed)
     rows = []
     for i in range(n):
@@ -55,7 +55,7 @@ def by_id(df, mode):
 
 
 @pytest.mark.parametrize("mode", ["corrected", "parity"])
-@pytest.mark.parametrize("rows_per_task", [5_000_000, 40, 1])
+@pytest.mark.parametrize("rows_per_task", [5_000_000, 40, 2])
 def test_against_brute_force(spark, mode, rows_per_task):
     rows = random_rows()
     df = table(spark, SCHEMA, rows).repartition(5)
