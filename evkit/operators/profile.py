@@ -165,7 +165,7 @@ def argmax_row(
     score = F.col(metric) if not desc else -F.col(metric)
     best = F.min_by(F.struct(*payload), F.struct(score.alias("s"), F.col(key).alias("k")))
     rows = df.filter(F.col(metric).isNotNull()).groupBy(*group_cols).agg(best.alias("_row"))
-    return rows.select(*group_cols, "_row.*")
+    return rows.filter(F.col("_row").isNotNull()).select(*group_cols, "_row.*")
 
 
 def distinct_values(df: DataFrame, col: str) -> DataFrame:
