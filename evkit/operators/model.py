@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -19,6 +20,7 @@ from evkit.session import write_once
 BOOSTING_ROUNDS = 300
 LEARNING_RATE = 0.06
 MIN_LEAF_ROWS = 100
+STOP_TOLERANCE = 1e-7
 SEED = 42
 # Depth 5 gives at most 32 leaves; Spark ML has no limit on leaves and no L2 term for trees.
 TREE_DEPTH = 5
@@ -180,6 +182,7 @@ def build_pipeline(
         )
         if validation:
             settings["validationIndicatorCol"] = validation
+            settings["validationTol"] = STOP_TOLERANCE
         classifier = GBTClassifier(featuresCol="features", labelCol=label, **{**settings, **params})
     elif kind == "rf":
         settings = dict(maxBins=max_bins, seed=SEED)
@@ -194,6 +197,15 @@ def build_pipeline(
     return Pipeline(stages=[*stages, classifier])
 
 
+def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
+    """Fit with the training rows kept in memory or on disk: each stage passes over them."""
+    kept = train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return pipeline.fit(kept)
+    finally:
+        kept.unpersist()
+
+
 def score(model: PipelineModel, df: DataFrame, prob: str = "prob") -> DataFrame:
     """Input columns plus `prediction` and the success probability."""
     scored = model.transform(df).withColumn(prob, positive_probability())
@@ -244,13 +256,11 @@ def compare_models(
 ) -> DataFrame:
     """One row of hold-out metrics per kind of model, all on the same split."""
     settings = settings or {}
-    train = train.persist()
     rows = []
     for kind in kinds:
-        model = build_pipeline(kind, cats, nums, label, **settings.get(kind, {})).fit(train)
+        model = fit(build_pipeline(kind, cats, nums, label, **settings.get(kind, {})), train)
         # Three narrow columns; the metrics then read them instead of scoring again.
         scored = write_once(score(model, test).select(label, "prob", "prediction"), "held-out")
         metrics = evaluate(scored, label, "prob", "prediction")
         rows.append(metrics.select(F.lit(kind).alias("model"), "*"))
-    train.unpersist()
     return reduce(DataFrame.unionByName, rows)

@@ -64,18 +64,22 @@ def both_tails(df: DataFrame, metric: str, k: int, key: str) -> DataFrame:
 def rankings(
     df: DataFrame, key: str, metrics: Sequence[str], k: int, desc: bool = True
 ) -> DataFrame:
-    """The top (or bottom) k keys for each of several metrics: `metric`, `rank`, key, `score`."""
-
-    def one(metric: str) -> DataFrame:
-        order = Window.orderBy(_nulls_last("score", desc), F.col(key))
-        best = top_k(
-            df.select(F.lit(metric).alias("metric"), key, F.col(metric).cast("double").alias("score")),
-            "score", k, desc, [key],
-        )
-        # The window sees k rows.
-        return best.withColumn("rank", F.row_number().over(order).cast("long"))
-
-    return reduce(DataFrame.unionByName, [one(m) for m in metrics])
+    """The top (or bottom) k keys for each of several metrics: `metric`, `rank`, key, `score`.
+
+    One pass over `df` for all metrics. Spark keeps k rows per metric and task before the shuffle;
+    above its limit for that, each metric gets a `top_k` of its own.
+    """
+    scores = df.select(key, *[F.col(m).cast("double").alias(m) for m in metrics])
+    long = scores.unpivot([key], list(metrics), "metric", "score")
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if k > limit:
+        parts = [
+            top_k(long.filter(F.col("metric") == m), "score", k, desc, [key]) for m in metrics
+        ]
+        long = reduce(DataFrame.unionByName, parts)
+    order = Window.partitionBy("metric").orderBy(_nulls_last("score", desc), F.col(key))
+    ranked = long.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.withColumn("rank", F.col("rank").cast("long"))
 
 
 def global_means(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from evkit.operators.model import (
     build_pipeline,
     coefficients,
     compare_models,
+    fit,
     lift,
     ordinal_encode,
     score,
@@ -193,7 +194,7 @@ def quality_split(t: Tables) -> tuple[DataFrame, DataFrame]:
 @query("L2 L3 L6 L7 B22")
 def logistic_scores(t: Tables) -> DataFrame:
     train, test = quality_split(t)
-    model = build_pipeline("lr", CATS, NUMS, "quality").fit(train)
+    model = fit(build_pipeline("lr", CATS, NUMS, "quality"), train)
     return score(model, test)
 
 
@@ -202,14 +203,14 @@ def boosted_scores(t: Tables) -> DataFrame:
     train, test = quality_split(t)
     watched = F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0
     pipeline = build_pipeline("gbt", CATS, NUMS, "quality", validation="watched")
-    model = pipeline.fit(train.withColumn("watched", watched))
+    model = fit(pipeline, train.withColumn("watched", watched))
     return score(model, test.withColumn("watched", F.lit(False))).drop("watched")
 
 
 @query("L15")
 def logistic_coefficients(t: Tables) -> DataFrame:
     train, _ = quality_split(t)
-    model = build_pipeline("lr", CATS, NUMS, "quality").fit(train)
+    model = fit(build_pipeline("lr", CATS, NUMS, "quality"), train)
     return coefficients(model, train)
 
 
@@ -217,7 +218,7 @@ def logistic_coefficients(t: Tables) -> DataFrame:
 def scenario_scores(t: Tables) -> DataFrame:
     """Every (lang, source) that occurs, at its mean length."""
     docs = judged_documents(t)
-    model = build_pipeline("lr", CATS, NUMS, "quality").fit(docs)
+    model = fit(build_pipeline("lr", CATS, NUMS, "quality"), docs)
     scenarios = docs.groupBy(*CATS).agg(F.avg("n_chars").alias("n_chars"))
     base = docs.agg(F.avg("quality").alias("base")).scalar()
     return score_scenarios(model, scenarios, F.lit(3), base)

@@ -23,6 +23,7 @@ from evkit.operators.profile import (
 )
 from evkit.operators.value import over_under
 from evkit.plans.season import MIN_PLAYER_GAMES, Season, clean_players
+from evkit.session import write_once
 from evkit.sources import present, row_counts
 
 # The columns that the exploratory tables look at.
@@ -79,10 +80,15 @@ def performance(
     min_games: int = 10,
     k: int = 5,
 ) -> dict[str, DataFrame]:
-    """Over/under tables of teams and players for a slice of the scored shots."""
+    """Over/under tables of teams and players for a slice of the scored shots.
+
+    The two summaries are written once; every other table starts from them.
+    """
     chosen = slice_rows(scored, **(selection or {}))
-    teams = over_under(chosen, "game_id", "team_abbrv")
-    players = over_under(chosen, "game_id", "full_name", min_games=min_games)
+    teams = write_once(over_under(chosen, "game_id", "team_abbrv"), "teams")
+    players = write_once(
+        over_under(chosen, "game_id", "full_name", min_games=min_games), "players"
+    )
     tables = {"teams": teams, "players": players}
     for name, table, key in (("team", teams, "team_abbrv"), ("player", players, "full_name")):
         tables[f"{name}_best"] = rankings(
@@ -120,7 +126,9 @@ def shooting(shots: DataFrame) -> dict[str, DataFrame]:
 
 def team_stats(season: Season) -> dict[str, DataFrame]:
     """Shot volume and defence of each team against the league mean."""
-    counts = frequency_table(season.shots, "team_name", drop_null=True, scale=None)
+    counts = write_once(
+        frequency_table(season.shots, "team_name", drop_null=True, scale=None), "volume"
+    )
     volume = deviation(
         counts.select(F.col("value").alias("team_name"), "count"), ["count"], scale=0
     )

@@ -22,6 +22,7 @@ from evkit.operators.evaluate import evaluate, rank_auc
 from evkit.operators.joins import denormalize, lookup_mean, unmatched_keys
 from evkit.operators.model import (
     build_pipeline,
+    fit,
     score,
     score_scenarios,
     stratified_split,
@@ -184,7 +185,7 @@ def fit_make_model(
     train, test = temporal_split(features, "game_id", cutoff)
     numbers = MODEL_NUMBERS + (TALLY_NUMBERS if with_tallies else [])
     pipeline = build_pipeline(kind, MODEL_CATEGORIES, numbers, "shot_cat", **params)
-    return pipeline.fit(train), test
+    return fit(pipeline, train), test
 
 
 def score_shots(model: PipelineModel, shots: DataFrame) -> DataFrame:
@@ -255,11 +256,18 @@ def run_season(
     }
 
 
+def add_tendencies(df: DataFrame, players: DataFrame) -> DataFrame:
+    """Two- and three-point rates of the named shooter; the league average for other names.
+
+    Works on shots and on scenarios alike: a scenario for the league average names nobody.
+    """
+    complete = conform.drop_incomplete(players)
+    return lookup_mean(df, complete, {"player_name": "full_name"}, TENDENCIES)
+
+
 def situation_features(shots: DataFrame, players: DataFrame) -> DataFrame:
     """Shots with the label from the event text and the shooter's tendencies."""
-    complete = conform.drop_incomplete(players)
-    labelled = shots.withColumn("made", text_to_label("event_type"))
-    return lookup_mean(labelled, complete, {"player_name": "full_name"}, TENDENCIES)
+    return add_tendencies(shots.withColumn("made", text_to_label("event_type")), players)
 
 
 def fit_situation_model(
@@ -284,9 +292,9 @@ def fit_situation_model(
     rows = rows.withColumn("_watched", watched)
     train, test = stratified_split(rows, row_id, "made", frac, mode=mode)
     pipeline = build_pipeline("gbt", cats, nums, "made", validation="_watched", **params)
-    held_out = score(pipeline.fit(train), test)
+    held_out = score(fit(pipeline, train), test)
     return SituationModel(
-        pipeline.fit(rows),
+        fit(pipeline, rows),
         rank_auc(held_out, "made", "prob"),
         rows.agg(F.avg("made").alias("base_rate")),
     )

@@ -25,11 +25,20 @@ def is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
 
+def _local_scratch() -> str:
+    if "dir" not in _LOCAL_SCRATCH:
+        _LOCAL_SCRATCH["dir"] = tempfile.mkdtemp(prefix="evkit-")
+    return _LOCAL_SCRATCH["dir"]
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply RUNTIME_CONF; on a cluster also start shuffles with a few partitions per core."""
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    if not spark.conf.get("spark.checkpoint.dir", None) and is_local(spark):
+        # Long iterations (boosting) cut their lineage there.
+        spark.sparkContext.setCheckpointDir(_local_scratch())
     if not is_local(spark):
         wanted = 3 * spark.sparkContext.defaultParallelism
         if int(spark.conf.get("spark.sql.shuffle.partitions")) < wanted:
@@ -52,7 +61,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     if not base:
         if not is_local(spark):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _LOCAL_SCRATCH.setdefault("dir", tempfile.mkdtemp(prefix="evkit-"))
+        base = _local_scratch()
     return f"{base.rstrip('/')}/evkit/{label}-{uuid.uuid4().hex}"
 
 

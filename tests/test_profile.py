@@ -53,10 +53,19 @@ def test_rankings(spark):
     got = P.rankings(df, "k", ["a", "b"], 2)
     assert rows_of(got, "metric", "rank", "k", "score") == [
         ("a", 1, "y", 2.0), ("a", 2, "x", 1.0), ("b", 1, "x", 9.0), ("b", 2, "y", 9.0)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
     worst = P.rankings(df, "k", ["b"], 1, desc=False)
     assert rows_of(worst, "k", "score") == [("z", 1.0)]
 
 
+def test_rankings_beyond_the_group_limit(spark):
+    df = spark.range(3000).selectExpr("id AS k", "id * 2 AS a", "-id AS b")
+    got = P.rankings(df, "k", ["a", "b"], 2000)
+    assert got.count() == 4000
+    assert rows_of(got.filter("rank = 2000"), "metric", "k") == [("a", 1000), ("b", 1999)]
+
+
 def test_numbers_rank_as_numbers(spark):
     df = table(spark, "k string, pct double", [("a", 9.0), ("b", 71.0), ("c", 100.0)])
     assert [r.k for r in P.top_k(df, "pct", 3).collect()] == ["c", "b", "a"]

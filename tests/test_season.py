@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from evkit.plans import reports as R
 from evkit.plans import season as P
 from evkit.sources import schemas as S
-from tests.conftest import ATTEMPTS, canonical_schema, rows_of, shot_rows, table
+from tests.conftest import ATTEMPTS, PLAYERS, canonical_schema, rows_of, shot_rows, table
 
 
 @pytest.fixture(scope="module")
@@ -185,6 +185,15 @@ def test_situation_model(spark, season):
         assert r.xp == pytest.approx(r.prob * r.shot_pt) and r.lift == pytest.approx(r.prob / base)
 
 
+def test_tendencies_of_a_named_shooter_and_of_nobody(spark, season):
+    df = table(spark, "player_name string", [("Gus Gray",), ("League average",), (None,)])
+    got = {r.player_name: r.player_2p_pct for r in P.add_tendencies(df, season.players).collect()}
+    complete = [p for p in PLAYERS if None not in p]
+    league = sum(p[8] for p in complete) / len(complete)
+    assert got["Gus Gray"] == pytest.approx((0.46 + 0.50) / 2)
+    assert got["League average"] == got[None] == pytest.approx(league)
+
+
 def test_situation_choices(season):
     got = P.situation_choices(season.shots)
     assert got.filter("level = 0").first()["count"] == 14
