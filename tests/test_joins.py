@@ -52,3 +52,33 @@ def test_entity_vs_average(spark):
     assert (row.ts, row.ts_mean, row.ts_dev) == (60.0, 55.0, 5.0)
     assert row.ts_text == "+5.0% vs league avg"
     assert row.ortg_text == "+5.0 vs league avg"
+
+
+def test_hot_keys_are_split_and_nothing_is_lost(spark):
+    """With dimensions too large to broadcast, the partition of a hot key is read by many tasks."""
+    confs = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+    }
+    old = {k: spark.conf.get(k, None) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        # A third of the rows has one key, another third has none.
+        fact = spark.range(0, 60_000, 1, 8).selectExpr(
+            "id", "CASE id % 3 WHEN 0 THEN 7 WHEN 1 THEN NULL ELSE id END AS k")
+        dim = spark.range(0, 30_000).selectExpr("id AS code", "id * 2 AS v")
+        got = J.denormalize(fact, [(dim, {"k": "code"}, "")])
+        rows = got.selectExpr("count(*) AS n", "count(v) AS hits", "sum(v) AS total").first()
+        assert rows.n == 60_000
+        assert rows.hits == 20_000 + 10_000
+        wide = got.repartition(1)
+        wide.write.format("noop").mode("overwrite").save()
+        wide.collect()
+        assert "skewed" in wide._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
