@@ -25,7 +25,8 @@ SEED = 42
 # Depth 5 gives at most 32 leaves; Spark ML has no limit on leaves and no L2 term for trees.
 TREE_DEPTH = 5
 
-HASH_BUCKETS = 65536
+HASH_DIGITS = 5
+HASH_BUCKETS = 16**HASH_DIGITS
 MAX_CLASSES = 200
 KINDS = ("lr", "gbt", "rf")
 
@@ -40,7 +41,7 @@ def _hash_text(row_id: str, seed: int) -> Column:
 
 
 def _hash_bucket(text: Column) -> Column:
-    return F.conv(F.substring(text, 1, 4), 16, 10).cast("int")
+    return F.conv(F.substring(text, 1, HASH_DIGITS), 16, 10).cast("int")
 
 
 def stratified_split(
@@ -53,10 +54,11 @@ def stratified_split(
 ) -> tuple[DataFrame, DataFrame]:
     """(train, test) with about (mode="hash") or exactly (mode="exact") `frac` of each label.
 
-    Both are decided by a hash of the row id, so a row falls on the same side on every run and at
-    every partitioning; rows without a label are in neither. "exact" takes round(frac x class size) rows per class: a histogram of hash
-    buckets gives the one bucket in which a class reaches its quota, and only the rows of that
-    bucket (about 1 in 65,536) are ranked.
+    Both are decided by a hash of the row id, which must be unique: a row falls on the same side on
+    every run and at every partitioning. Rows without a label are in neither part. "exact" takes
+    round(frac x class size) rows per class: a histogram of hash buckets gives the one bucket in
+    which a class reaches its quota, and only the rows of that bucket (about one in a million) are
+    ranked.
     """
     df = df.filter(F.col(label).isNotNull())
     if mode == "hash":
@@ -69,7 +71,7 @@ def stratified_split(
     hashed = df.withColumn("_hash", _hash_text(row_id, seed))
     hashed = hashed.withColumn("_bucket", _hash_bucket(F.col("_hash")))
     per_bucket = hashed.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # A class has at most 65,536 buckets.
+    # A class has at most HASH_BUCKETS rows here.
     by_class = Window.partitionBy(label)
     quota = F.round(F.sum("_n").over(by_class) * F.lit(frac)).cast("long")
     filled = F.sum("_n").over(by_class.orderBy("_bucket")) - F.col("_n")

@@ -30,7 +30,7 @@ LABELLED_SQL = f"""
     FROM documents JOIN labels USING (doc_id)"""
 SPLIT_HASH_SQL = """
     SELECT doc_id, quality, md5(doc_id::VARCHAR || ':42') AS h,
-           ('0x' || substr(md5(doc_id::VARCHAR || ':42'), 1, 4))::INTEGER AS bucket
+           ('0x' || substr(md5(doc_id::VARCHAR || ':42'), 1, 5))::INTEGER AS bucket
     FROM documents JOIN labels USING (doc_id)"""
 
 
@@ -77,7 +77,7 @@ def split_parts(train: DataFrame, test: DataFrame) -> DataFrame:
 
 @query(
     "L5",
-    f"""SELECT doc_id, CASE WHEN bucket < 13107 THEN 'test' ELSE 'train' END AS part
+    f"""SELECT doc_id, CASE WHEN bucket < 209715 THEN 'test' ELSE 'train' END AS part
         FROM ({SPLIT_HASH_SQL})""",
 )
 def stratified_split_by_hash(t: Tables) -> DataFrame:

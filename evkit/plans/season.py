@@ -78,24 +78,41 @@ class SituationModel(NamedTuple):
     base_rate: DataFrame
 
 
+def load_table(
+    spark: SparkSession,
+    path: str,
+    fields: Sequence[S.Field],
+    optional: Sequence[S.Field] = (),
+    fmt: str = "csv",
+    keep_others: bool = False,
+) -> DataFrame:
+    """One file under canonical column names."""
+    fields, optional = list(fields), list(optional)
+    names = S.canonical(fields + optional)
+    return read_table(
+        spark, path, S.struct(fields), fmt, names, S.struct(optional), keep_others=keep_others
+    )
+
+
 def load_season(
     spark: SparkSession, shots: str, players: str, teams: str, fmt: str = "csv"
 ) -> Season:
-    """The three files under canonical column names."""
-
-    def load(path, fields, optional=()):
-        names = {**S.canonical(fields), **S.canonical(list(optional))}
-        return read_table(
-            spark, path, S.struct(fields), fmt, names, S.struct(list(optional)) if optional else None
-        )
+    """The three files under canonical column names.
 
+    Player rows keep all columns of the file, because a null in any of them drops the row.
+    """
     return Season(
-        load(shots, S.SHOTS),
-        load(players, S.PLAYERS, S.PLAYERS_OPTIONAL),
-        load(teams, S.TEAMS),
+        load_table(spark, shots, S.SHOTS, fmt=fmt),
+        load_table(spark, players, S.PLAYERS, S.PLAYERS_OPTIONAL, fmt, keep_others=True),
+        load_table(spark, teams, S.TEAMS, fmt=fmt),
     )
 
 
+def load_scored(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Scored shots of an earlier run, conference and division where the file has them (A2)."""
+    return load_table(spark, path, S.SCORED, S.SCORED_OPTIONAL, fmt)
+
+
 def clean_teams(teams: DataFrame) -> DataFrame:
     return teams.withColumn("team_abbrv", F.upper("team_abbrv"))
 
@@ -145,7 +162,10 @@ def build_master(
             "shot_cat": flag_to_label("shot_made"),
         }
     )
-    shooter = players.withColumn("_name", F.col("full_name"))
+    player_columns = [new for _, new, _ in S.PLAYERS]
+    shooter = players.select(
+        *player_columns, "qualified", F.col("full_name").alias("_name")
+    )
     defence = teams.select("team_abbrv", "oppg", "deff")
     return denormalize(
         shots,

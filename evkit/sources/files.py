@@ -25,13 +25,15 @@ def read_table(
     rename: Mapping[str, str] | None = None,
     optional: T.StructType | None = None,
     infer: bool = False,
+    keep_others: bool = False,
 ) -> DataFrame:
     """Scan Parquet or CSV with a declared schema (A1, A2).
 
     CSV columns are matched by header name, not by position, so files may hold more columns, in
     any order; only the header is read up front. A malformed value stops the job. `optional`
-    names columns that are taken only where the file has them; `infer=True` lets Spark guess the
-    types instead, at the price of one more scan.
+    names columns that are taken only where the file has them; `keep_others=True` also keeps the
+    undeclared ones, as text in CSV. `infer=True` lets Spark guess the types instead, at the price
+    of one more scan.
     """
     if fmt == "parquet":
         df = spark.read.parquet(*([path] if isinstance(path, str) else path))
@@ -50,6 +52,9 @@ def read_table(
     if missing:
         raise ValueError(f"columns missing from {path}: {', '.join(missing)}")
     names = [f.name for f in schema] + present(df, [f.name for f in optional or []])
+    if keep_others:
+        taken = {n.lower() for n in names}
+        names += [c for c in df.columns if c.lower() not in taken]
     rename = rename or {}
     return df.select(*[df[f"`{n}`"].alias(rename.get(n, n)) for n in names])
 

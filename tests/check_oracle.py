@@ -1,4 +1,4 @@
-"""Compare every registered query with its SQL on one folder: python tests/check_oracle.py [folder] [name...]"""
+"""Compare registered queries with their SQL: python tests/check_oracle.py [folder] [name...]"""
 
 from __future__ import annotations
 

@@ -51,7 +51,8 @@ def test_unmatched_codes(season):
 
 
 def test_players(season):
-    got = {(r.full_name, r.team): (r.qualified, r.ppg_norm) for r in P.clean_players(season.players).collect()}
+    rows = P.clean_players(season.players).collect()
+    got = {(r.full_name, r.team): (r.qualified, r.ppg_norm) for r in rows}
     assert ("Ed Edge", "LAL") not in got  # a null in the row
     assert got[("Bea Bolt", "BOS")] == ("Yes", 0.5)
     assert got[("Cy Cole", "BOS")][0] == "No"
@@ -83,7 +84,8 @@ def many_games(spark, season, games=60):
         "shot_made": (F.pmod(F.xxhash64("copy", "player_id", "secs_left"), F.lit(10))
                       < F.when(F.col("basic_zone") == "Restricted Area", 7).otherwise(4)),
     })
-    shots = shots.withColumn("event_type", F.when(F.col("shot_made"), "Made Shot").otherwise("Missed Shot"))
+    event = F.when(F.col("shot_made"), "Made Shot").otherwise("Missed Shot")
+    shots = shots.withColumn("event_type", event)
     return season._replace(shots=shots.drop("copy"))
 
 
@@ -218,5 +220,26 @@ def test_load_from_csv(spark, season, tmp_path):
         assert mine.exceptAll(original).count() == 0 and mine.count() == original.count()
 
 
+def test_a_null_in_any_player_column_drops_the_row(spark, tmp_path):
+    path = tmp_path / "players.csv"
+    head = [old for old, _, _ in S.PLAYERS]
+    row = ["Ann Ace", "Bro", "G", "60", "30", "15", "0.6", "0.55", "0.52", "0.38", "115"]
+    lines = [["RANK", *head, "AGE"], ["1", *row, "27"], ["", *row, "27"], ["3", *row, "27"]]
+    path.write_text("\n".join(",".join(line) for line in lines))
+    loaded = P.load_table(spark, str(path), S.PLAYERS, S.PLAYERS_OPTIONAL, keep_others=True)
+    assert loaded.columns[-2:] == ["RANK", "AGE"]
+    assert P.clean_players(loaded).count() == 2
+
+
+def test_load_scored(spark, tmp_path):
+    path = str(tmp_path / "scored.csv")
+    with open(path, "w") as f:
+        f.write("FULL NAME,GAME_ID,TEAM_ABBRV,SHOT_CAT,prediction,shot_pt,prob_made,xP,pts,CONF\n")
+        f.write("Ann Ace,5,BRO,1,1.0,3,0.5,1.5,3,East\n")
+    got = P.load_scored(spark, path, "csv")
+    assert got.columns == [new for _, new, _ in S.SCORED] + ["conf"]
+    assert tuple(got.first()) == ("Ann Ace", 5, "BRO", 1, 1.0, 3, 0.5, 1.5, 3, "East")
+
+
 def test_shots_fixture_matches_the_schema(spark):
     assert len(shot_rows()[0]) == len(canonical_schema(S.SHOTS))
