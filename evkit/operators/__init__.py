@@ -1 +1,122 @@
 """DataFrame -> DataFrame operators."""
+
+from evkit.operators.assoc import (
+    association_matrix,
+    correlation_ratio,
+    cramers_v,
+    numeric_pairs,
+    pearson,
+    strong_associations,
+)
+from evkit.operators.conform import (
+    add_key,
+    add_ratio,
+    conform_keys,
+    drop_incomplete,
+    fill_missing,
+    qualify,
+    recode,
+    scale_columns,
+    slice_rows,
+    split_name,
+)
+from evkit.operators.entity import entity_profile, entity_vs_average
+from evkit.operators.evaluate import confusion_counts, confusion_matrix, evaluate, rank_auc
+from evkit.operators.joins import denormalize, duplicate_keys, lookup_mean, unmatched_keys
+from evkit.operators.model import (
+    build_pipeline,
+    coefficients,
+    compare_models,
+    fit,
+    lift,
+    ordinal_encode,
+    score,
+    score_scenarios,
+    stratified_split,
+    string_index,
+    temporal_split,
+)
+from evkit.operators.profile import (
+    argmax_row,
+    both_tails,
+    dedupe,
+    deviation,
+    distinct_values,
+    facet_counts,
+    frequency_table,
+    global_means,
+    kpis,
+    minmax,
+    mode_value,
+    rankings,
+    top_k,
+    value_range,
+)
+from evkit.operators.value import (
+    expected_value,
+    over_under,
+    over_under_games,
+    over_under_pivot,
+    summarize_games,
+)
+from evkit.operators.windows import running_tallies
+
+__all__ = [
+    "add_key",
+    "add_ratio",
+    "argmax_row",
+    "association_matrix",
+    "both_tails",
+    "build_pipeline",
+    "coefficients",
+    "compare_models",
+    "conform_keys",
+    "confusion_counts",
+    "confusion_matrix",
+    "correlation_ratio",
+    "cramers_v",
+    "dedupe",
+    "denormalize",
+    "deviation",
+    "distinct_values",
+    "drop_incomplete",
+    "duplicate_keys",
+    "entity_profile",
+    "entity_vs_average",
+    "evaluate",
+    "expected_value",
+    "facet_counts",
+    "fill_missing",
+    "fit",
+    "frequency_table",
+    "global_means",
+    "kpis",
+    "lift",
+    "lookup_mean",
+    "minmax",
+    "mode_value",
+    "numeric_pairs",
+    "ordinal_encode",
+    "over_under",
+    "over_under_games",
+    "over_under_pivot",
+    "pearson",
+    "qualify",
+    "rank_auc",
+    "rankings",
+    "recode",
+    "running_tallies",
+    "scale_columns",
+    "score",
+    "score_scenarios",
+    "slice_rows",
+    "split_name",
+    "stratified_split",
+    "string_index",
+    "strong_associations",
+    "summarize_games",
+    "temporal_split",
+    "top_k",
+    "unmatched_keys",
+    "value_range",
+]

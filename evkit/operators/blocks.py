@@ -12,7 +12,7 @@ import math
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from evkit.functions import sort_keys
@@ -20,6 +20,8 @@ from evkit.session import write_once
 
 BLOCK = "_block"
 ROWS_PER_TASK = 5_000_000
+# More large groups than this are not listed one by one.
+MAX_LISTED_GROUPS = 1000
 
 
 class GroupSizes(NamedTuple):
@@ -34,6 +36,13 @@ def group_sizes(df: DataFrame, keys: Sequence[str]) -> GroupSizes:
     return GroupSizes(row[0] or 0, row[1] or 0)
 
 
+def large_groups(df: DataFrame, key: str, over: int) -> list[Row] | None:
+    """The groups of more than `over` rows as (key, n), or None if they are too many to list."""
+    counts = df.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    found = counts.filter(F.col("n") > over).limit(MAX_LISTED_GROUPS + 1).collect()
+    return found if len(found) <= MAX_LISTED_GROUPS else None
+
+
 def ordered_blocks(df: DataFrame, order: Sequence[str], rows: int, rows_per_block: int) -> DataFrame:
     """`df` with a block number that never falls along `order`.
 

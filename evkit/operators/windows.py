@@ -8,7 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evkit.functions import as_col, flag_to_label, safe_ratio, sort_keys
-from evkit.operators.blocks import BLOCK, ROWS_PER_TASK, group_sizes, ordered_blocks
+from evkit.operators.blocks import (
+    BLOCK,
+    ROWS_PER_TASK,
+    group_sizes,
+    large_groups,
+    ordered_blocks,
+)
 
 _HIT = "_hit"
 _HELPERS = [
@@ -39,21 +45,36 @@ def running_tallies(
     Both add `seq`, the position in the game.
 
     Games of up to `rows_per_task` rows take one shuffle by game. Larger ones go through
-    `ordered_blocks`; the result is the same.
+    `ordered_blocks`, on their own where they can be listed; the result is the same.
     """
     if mode not in ("corrected", "parity"):
         raise ValueError(f"unknown mode {mode!r}")
     if not tiebreak:
         raise ValueError("a tiebreak is needed: equal clocks would make the tallies random")
     df = df.withColumn(_HIT, flag_to_label(as_col(made)))
-    sizes = group_sizes(df, [game])
     total_order = [*order, *tiebreak]
+    in_one_pass = _corrected if mode == "corrected" else _parity
+    in_blocks = _corrected_in_blocks if mode == "corrected" else _parity_in_blocks
+
+    def one_pass(part: DataFrame) -> DataFrame:
+        return in_one_pass(part, game, entity, order, total_order).drop(_HIT)
+
+    def blocks(part: DataFrame, rows: int) -> DataFrame:
+        cut = ordered_blocks(part, [game, *total_order], rows, rows_per_task)
+        return in_blocks(cut, game, entity, order, total_order)
+
+    sizes = group_sizes(df, [game])
     if sizes.largest <= rows_per_task:
-        add = _corrected if mode == "corrected" else _parity
-        return add(df, game, entity, order, total_order).drop(_HIT)
-    blocks = ordered_blocks(df, [game, *total_order], sizes.rows, rows_per_task)
-    add = _corrected_in_blocks if mode == "corrected" else _parity_in_blocks
-    return add(blocks, game, entity, order, total_order)
+        return one_pass(df)
+    large = large_groups(df, game, rows_per_task)
+    if large is None:
+        return blocks(df, sizes.rows)
+    names = [r.key for r in large if r.key is not None]
+    null_is_large = F.lit(len(names) < len(large))
+    is_large = F.when(F.col(game).isNull(), null_is_large).otherwise(F.col(game).isin(names))
+    return one_pass(df.filter(~is_large)).unionByName(
+        blocks(df.filter(is_large), sum(r.n for r in large))
+    )
 
 
 def _before(window):

@@ -63,6 +63,30 @@ def test_against_brute_force(spark, mode, rows_per_task):
     assert by_id(got, mode) == brute_force(rows, mode)
 
 
+@pytest.mark.parametrize("mode", ["corrected", "parity"])
+def test_more_large_games_than_can_be_listed(spark, monkeypatch, mode):
+    monkeypatch.setattr("evkit.operators.blocks.MAX_LISTED_GROUPS", 1)
+    rows = random_rows()
+    got = tallies(table(spark, SCHEMA, rows), mode, rows_per_task=40)
+    assert by_id(got, mode) == brute_force(rows, mode)
+
+
+def test_only_large_games_are_cut_into_blocks(spark, monkeypatch):
+    from evkit.operators import windows
+
+    seen = []
+
+    def watched(df, order, rows, per_block):
+        seen.append((rows, {r.game for r in df.select("game").distinct().collect()}))
+        return ordered_blocks(df, order, rows, per_block)
+
+    monkeypatch.setattr(windows, "ordered_blocks", watched)
+    rows = random_rows()
+    got = tallies(table(spark, SCHEMA, rows), rows_per_task=80)
+    assert by_id(got, "corrected") == brute_force(rows, "corrected")
+    assert seen == [(sum(r[0] == 1 for r in rows), {1})]
+
+
 def test_a_null_game_is_a_game(spark):
     rows = [(None, 1, 1, 5, 1, True), (None, 1, 1, 4, 2, False), (1, 1, 1, 5, 3, True)]
     df = table(spark, SCHEMA, rows)
