@@ -74,7 +74,8 @@ def rank_auc(
 def evaluate(scored: DataFrame, label: str, prob: str, pred: str) -> DataFrame:
     """One row: accuracy, precision, recall, auc, tp, fp, tn, fn.
 
-    Precision and recall are null where nothing was predicted, or nothing is positive.
+    Precision and recall are null where nothing was predicted, or nothing is positive. The rows are
+    read three times (counts, distinct scores, curve), so write freshly scored ones to files first.
     """
     counts = confusion_counts(scored, label, pred)
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
