@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from evkit.functions import as_col, positive_probability, safe_ratio
 from evkit.operators.evaluate import evaluate
-from evkit.session import write_once
+from evkit.session import ensure_checkpoints, write_once
 
 # Fixed values of the boosted-tree model.
 BOOSTING_ROUNDS = 300
@@ -201,6 +201,7 @@ def build_pipeline(
 
 def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
     """Fit with the training rows kept in memory or on disk: each stage passes over them."""
+    ensure_checkpoints(train.sparkSession)
     kept = train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return pipeline.fit(kept)

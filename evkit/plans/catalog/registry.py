@@ -7,9 +7,6 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evkit.session import tune
-
-
 # Declared, so that opening a table starts no job to read its schema.
 SCHEMAS = {
     "region": "r_regionkey int, r_name string",
@@ -36,7 +33,7 @@ class Tables:
     """The Parquet tables of one folder, opened by name."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark = tune(spark)
+        self.spark = spark
         self.folder = folder.rstrip("/")
 
     def __call__(self, name: str) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings that may change on a live session. AQE picks broadcast joins from run-time sizes,
-# splits skewed join partitions and merges small shuffle partitions.
+# AQE picks broadcast joins from run-time sizes, splits skewed join partitions and merges small
+# shuffle partitions.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -18,51 +17,44 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
-_LOCAL_SCRATCH: dict[str, str] = {}
-
-
-def is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
-
-
-def _local_scratch() -> str:
-    if "dir" not in _LOCAL_SCRATCH:
-        _LOCAL_SCRATCH["dir"] = tempfile.mkdtemp(prefix="evkit-")
-    return _LOCAL_SCRATCH["dir"]
-
-
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply RUNTIME_CONF; on a cluster also start shuffles with a few partitions per core."""
-    for key, value in RUNTIME_CONF.items():
-        if spark.conf.get(key, None) != value:
-            spark.conf.set(key, value)
-    if not spark.conf.get("spark.checkpoint.dir", None) and is_local(spark):
-        # Long iterations (boosting) cut their lineage there.
-        spark.sparkContext.setCheckpointDir(_local_scratch())
-    if not is_local(spark):
-        wanted = 3 * spark.sparkContext.defaultParallelism
-        if int(spark.conf.get("spark.sql.shuffle.partitions")) < wanted:
-            spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
-    return spark
-
 
 def build_session(app_name: str = "evkit", master: str | None = None, **conf: str) -> SparkSession:
+    """A session with RUNTIME_CONF and `conf`. Only here are settings made: sessions that a caller
+    brings along keep theirs."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     for key, value in {**RUNTIME_CONF, **conf}.items():
         builder = builder.config(key, value)
-    return tune(builder.getOrCreate())
+    return builder.getOrCreate()
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new folder below spark.checkpoint.dir, the storage that every executor shares."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+def scratch_root(spark: SparkSession) -> str:
+    """Storage that all executors share: `spark.checkpoint.dir`, else the checkpoint folder of the
+    context, else a folder in the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not is_local(spark):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _local_scratch()
-    return f"{base.rstrip('/')}/evkit/{label}-{uuid.uuid4().hex}"
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return f"{base.rstrip('/')}/evkit/{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new folder of this application below the shared root."""
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clean_scratch(spark: SparkSession) -> bool:
+    """Delete what this application wrote to the shared root; its results must be read by then."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(files.delete(path, True))
+
+
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Long iterations (boosting) cut their lineage in the checkpoint folder; set one if there is none."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(f"{scratch_root(spark)}/checkpoints")
 
 
 def write_once(df: DataFrame, label: str, partition_by: Sequence[str] = ()) -> DataFrame:

@@ -1,8 +1,11 @@
+import os
+
 import pytest
 from pyspark.sql import types as T
 
 from evkit import sources
-from evkit.session import scratch_path, write_once
+from evkit.plans.catalog.registry import Tables
+from evkit.session import clean_scratch, scratch_path, scratch_root, write_once
 from evkit.sources import schemas as S
 from tests.conftest import rows_of, table
 
@@ -90,26 +93,40 @@ def test_schemas_have_unique_names():
 
 
 def test_scratch_follows_the_session(spark):
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir").rstrip("/")
     one, two = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert one != two
-    if shared:
-        assert one.startswith(f"{shared.rstrip('/')}/evkit/x-")
+    assert one.startswith(f"{shared}/evkit/{spark.sparkContext.applicationId}/x-")
+
+
+def test_scratch_falls_back_to_shared_folders_only():
+    class Fake:
+        def __init__(self, conf, checkpoints):
+            self.conf = type("Conf", (), {"get": lambda _, key, default=None: conf.get(key, default)})()
+            self.sparkContext = type(
+                "Context", (), {"applicationId": "app", "getCheckpointDir": lambda _: checkpoints}
+            )()
 
+    warehouse = {"spark.sql.warehouse.dir": "s3://house"}
+    assert scratch_root(Fake(warehouse, "hdfs://own")) == "hdfs://own/evkit/app"
+    assert scratch_root(Fake(warehouse, None)) == "s3://house/_scratch/evkit/app"
 
-def test_cluster_without_a_shared_folder_is_refused(monkeypatch, spark):
-    from evkit import session
 
-    class Conf:
-        def get(self, key, default=None):
-            return default
+def test_opening_tables_keeps_the_settings(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        Tables(spark, "/root/testdata/sf0.001")("region")
+        assert spark.conf.get("spark.sql.session.timeZone") == "America/New_York"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
 
-    class Cluster:
-        conf = Conf()
-        sparkContext = type("Context", (), {"master": "yarn"})()
 
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        session.scratch_path(Cluster(), "x")
+def test_clean_scratch_removes_what_was_written(spark):
+    back = write_once(spark.range(3).toDF("id"), "gone")
+    path = back.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(path)
+    assert clean_scratch(spark) and not os.path.exists(path)
 
 
 def test_write_once_keeps_rows_and_cuts_the_plan(spark):
