@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from evkit.llm.common import open_table
 from evkit.llm.exact_dedup import mark_copies
 from evkit.llm.mixing import mix
+from evkit.llm.ngram_join import join_near
+from evkit.llm.packing import pack
+from evkit.llm.quality import fit, score
 from evkit.llm.registry import QUERIES, SQL, query
 
 __all__ = ["QUERIES", "SQL"]
@@ -31,3 +36,23 @@ def op4_mix_sources(spark, folder):
 def op10_exact_dedup(spark, folder):
     marked = mark_copies(open_table(spark, folder, "documents").select("doc_id", "text"))
     return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query()
+def op3_ngram_join(spark, folder):
+    found = join_near(open_table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query()
+def op5_packing(spark, folder):
+    pieces = pack(open_table(spark, folder, "documents").select("doc_id", "text"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset", "padded_length")
+
+
+@query()
+def op6_quality(spark, folder):
+    docs = open_table(spark, folder, "documents").select("doc_id", "text")
+    scored = score(docs, fit(docs, open_table(spark, folder, "labels")))
+    return scored.select("doc_id", "held_out", "score", "predicted")
