@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evkit.llm.common import open_table
 from evkit.llm.exact_dedup import mark_copies
+from evkit.llm.licenses import scan
 from evkit.llm.mixing import mix
 from evkit.llm.ngram_join import join_near
 from evkit.llm.packing import pack
@@ -56,3 +57,9 @@ def op6_quality(spark, folder):
     docs = open_table(spark, folder, "documents").select("doc_id", "text")
     scored = score(docs, fit(docs, open_table(spark, folder, "labels")))
     return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@query()
+def op1_license_scan(spark, folder):
+    found = scan(open_table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
