@@ -10,8 +10,11 @@ from evkit.llm.licenses import scan
 from evkit.llm.mixing import mix
 from evkit.llm.ngram_join import join_near
 from evkit.llm.packing import pack
+from evkit.llm.personal import find_personal, span_text
 from evkit.llm.quality import fit, score
 from evkit.llm.registry import QUERIES, SQL, query
+from evkit.llm.warc import assemble, read_records, write_archive
+from evkit.session import scratch_path
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -63,3 +66,26 @@ def op6_quality(spark, folder):
 def op1_license_scan(spark, folder):
     found = scan(open_table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@query()
+def op7_warc(spark, folder):
+    path = scratch_path(spark, "warc")
+    write_archive(open_table(spark, folder, "pages"), path)
+    captures = assemble(read_records(spark, path))
+    number = lambda name: F.regexp_extract(name, r":([^:>]*)>$", 1)
+    return captures.select(
+        number("capture.record_id").cast("long").alias("page_id"),
+        F.regexp_extract("metadata.content", "payload-bytes: ([0-9]+)", 1).cast("long").alias("payload_bytes"),
+        F.substring("capture.digest", 6, 40).alias("payload_digest"),
+        F.col("capture.kind").alias("record_type"),
+        F.when(F.col("capture.refers_to").isNotNull(), number("capture.refers_to").cast("long")).alias("refers_to"),
+    )
+
+
+@query()
+def op9_personal_data(spark, folder):
+    found = find_personal(open_table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone",
+                        F.sha2(span_text("base_spans").cast("binary"), 256).alias("base_sha256"),
+                        span_text("all_spans").alias("spans"))
