@@ -13,6 +13,7 @@ from evkit.llm.packing import pack
 from evkit.llm.personal import find_personal, span_text
 from evkit.llm.quality import fit, score
 from evkit.llm.registry import QUERIES, SQL, query
+from evkit.llm.vector_dedup import link_vectors
 from evkit.llm.warc import assemble, read_records, write_archive
 from evkit.session import scratch_path
 
@@ -89,3 +90,9 @@ def op9_personal_data(spark, folder):
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone",
                         F.sha2(span_text("base_spans").cast("binary"), 256).alias("base_sha256"),
                         span_text("all_spans").alias("spans"))
+
+
+@query()
+def op8_vector_dedup(spark, folder):
+    found = link_vectors(open_table(spark, folder, "embeddings").select("vec_id", "embedding"))
+    return found.select("vec_id", "n_links", "component_id", "kept")
