@@ -13,6 +13,7 @@ from evkit.llm.packing import pack
 from evkit.llm.personal import find_personal, span_text
 from evkit.llm.quality import fit, score
 from evkit.llm.registry import QUERIES, SQL, query
+from evkit.llm.token_files import read_tokens, write_tokens
 from evkit.llm.vector_dedup import link_vectors
 from evkit.llm.warc import assemble, read_records, write_archive
 from evkit.session import scratch_path
@@ -96,3 +97,10 @@ def op9_personal_data(spark, folder):
 def op8_vector_dedup(spark, folder):
     found = link_vectors(open_table(spark, folder, "embeddings").select("vec_id", "embedding"))
     return found.select("vec_id", "n_links", "component_id", "kept")
+
+
+@query()
+def op2_token_files(spark, folder):
+    path = scratch_path(spark, "token-files")
+    write_tokens(open_table(spark, folder, "documents"), path)
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

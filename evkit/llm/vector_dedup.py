@@ -157,6 +157,8 @@ def link_vectors(docs: DataFrame, vector: str = "embedding", vec_id: str = "vec_
         tree = pd.DataFrame({"a": names[joined], "b": names[label[joined]], "n": 0})
         return pd.concat([links, tree]).astype("int64")
 
+    # Both sides come from one table; as a table of its own, one has columns of its own.
+    stored = write_once(stored.drop("parts"), "blocks")
     keys = ["cell", "block", "part"]
     met = asked.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInPandas(compare, "a long, b long, n long")
     met = write_once(met, "vector-links")
