@@ -5,6 +5,7 @@ nearest pair of centroids. A query visits cells in the order of their distance (
 distances), as many as reach the target recall; what it meets there is verified by its cosine in double
 precision. The number of visited cells is set on the sample the codebooks are fitted on: neighbours right at
 the limit are drawn around sampled vectors, and the visits that reach `recall` of their cells are kept.
+A pair counts for both vectors, even if only one of them visits the other's cell.
 
 Equal vectors are one entry. Cells are cut into blocks of about BLOCK entries, so a hot cell is many tasks; a task
 returns counts and a spanning forest of its links, never its pairs.
@@ -126,9 +127,9 @@ def link_vectors(docs: DataFrame, vector: str = "embedding", vec_id: str = "vec_
     # One row per cell of the grid: at most CENTROIDS ** 2.
     sizes = F.broadcast(sizes)
     stored = home.join(sizes, "cell").select(
-        "cell", F.pmod(F.xxhash64("entry"), "blocks").alias("block"), "entry", "copies", "values")
-    asked = placed.select("entry", "values", F.explode("cells").alias("cell")).join(sizes, "cell")
-    asked = asked.select("cell", "entry", "values", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+        "cell", F.pmod(F.xxhash64("entry"), "blocks").alias("block"), "entry", "copies", "values", "cells")
+    asked = placed.select("entry", "copies", "values", F.col("cells")[0].alias("home"), F.explode("cells").alias("cell"))
+    asked = asked.join(sizes, "cell").select("cell", "entry", "copies", "values", "home", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     # Queries of a block come in parts of about BLOCK, too; each part meets the whole block.
     parts = asked.groupBy("cell", "block").agg(F.ceil(F.count(F.lit(1)) / (4 * BLOCK)).alias("parts"))
     asked = asked.join(parts, ["cell", "block"]).withColumn("part", F.pmod(F.xxhash64("entry", F.lit(1)), "parts"))
@@ -144,15 +145,21 @@ def link_vectors(docs: DataFrame, vector: str = "embedding", vec_id: str = "vec_
         left, right = place[: len(asking)], place[len(asking) :]
         counts, label = np.zeros(len(asking), dtype="int64"), np.arange(len(names))
         vectors = units(queries["values"])
+        # Members that visit a query's home cell find that pair there as well; the others are told here.
+        visits_home = np.zeros((len(ids), len(books[0]) * len(books[1])), dtype=bool)
+        for i, cells in enumerate(members["cells"]):
+            visits_home[i, cells] = True
+        home, times, told = queries["home"].to_numpy(), queries["copies"].to_numpy(), np.zeros(len(ids), dtype="int64")
         for low in range(0, len(asking), SLICE):
             near = vectors[low : low + SLICE] @ held.T >= limit
             near &= asking[low : low + SLICE, None] != ids[None, :]
             counts[low : low + SLICE] = near @ copies
+            told += times[low : low + SLICE] @ (near & ~visits_home[:, home[low : low + SLICE]].T)
             q, m = np.nonzero(near)
             a, b = np.concatenate([left[low + q], np.arange(len(names))]), np.concatenate([right[m], label])
             label = _forest(a, b, len(names))
-        some = counts > 0
-        links = pd.DataFrame({"a": asking[some], "b": asking[some], "n": counts[some]})
+        both, n = np.concatenate([asking, ids]), np.concatenate([counts, told])
+        links = pd.DataFrame({"a": both, "b": both, "n": n})[n > 0]
         joined = label != np.arange(len(names))
         tree = pd.DataFrame({"a": names[joined], "b": names[label[joined]], "n": 0})
         return pd.concat([links, tree]).astype("int64")

@@ -27,6 +27,7 @@ def test_vectors_link_as_in_brute_force(spark):
     assert len(found) == len(data) and all(r["row"] == "x" for r in got)
     assert sum(found[i]["n_links"] for i in range(len(rows))) >= 0.9 * near.sum() > 0
     assert all(found[i]["n_links"] <= near[i].sum() for i in range(len(rows)))
+    assert sum(found[i]["n_links"] for i in range(len(rows))) % 2 == 0
     assert all(found[i]["component_id"] == i % 80 for i in range(80, 85))
     assert all(found[i]["n_links"] == 0 and found[i]["kept"] for i in range(900, 904))
 
