@@ -16,7 +16,7 @@ from evkit.llm.spans import match_spans
 
 # Phrases of the base rules and their labels.
 BASE = {
-    "general public license": "gpl",
+    "gnu general public license": "gpl",
     "apache license": "apache",
     "cc by": "cc-by",
     "mit license": "mit",
