@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evkit.llm.common import open_table
+from evkit.llm.common import lower_ascii, open_table
 from evkit.llm.exact_dedup import mark_copies
+from evkit.llm.fingerprints import compare_edited, fingerprint_text
 from evkit.llm.licenses import scan
+from evkit.llm.manifest import COLUMNS, leaf_digest, manifest
+from evkit.llm.manifest_sql import MANIFEST_SQL
 from evkit.llm.mixing import mix
 from evkit.llm.ngram_join import join_near
 from evkit.llm.packing import pack
@@ -16,6 +19,7 @@ from evkit.llm.registry import QUERIES, SQL, query
 from evkit.llm.token_files import read_tokens, write_tokens
 from evkit.llm.vector_dedup import link_vectors
 from evkit.llm.warc import assemble, read_records, write_archive
+from evkit.llm.whitening import fit_whitening, whiten
 from evkit.session import scratch_path
 
 __all__ = ["QUERIES", "SQL"]
@@ -104,3 +108,30 @@ def op2_token_files(spark, folder):
     path = scratch_path(spark, "token-files")
     write_tokens(open_table(spark, folder, "documents"), path)
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query()
+def op11_fingerprints(spark, folder):
+    rows = compare_edited(open_table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select(
+        F.col("id").alias("doc_id"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprint_text(F.col("vector")).alias("fingerprint"),
+        fingerprint_text(F.col("edited_vector")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@query(MANIFEST_SQL)
+def op12_merkle_manifest(spark, folder):
+    docs = open_table(spark, folder, "documents").select(*COLUMNS)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    now = F.when(F.coalesce(tampered, F.lit(False)), lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    proved = manifest(docs, leaf_digest(*[now if c == "text" else F.col(c) for c in COLUMNS]))
+    return proved.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query()
+def op13_whitening(spark, folder):
+    rows = open_table(spark, folder, "embeddings").select("vec_id", "embedding")
+    rows = whiten(rows, fit_whitening(rows))
+    each = rows.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")))
+    return each.select("vec_id", (F.col("pos") + 1).alias("component"), "n", "deviation", F.col("col.whitened").alias("whitened"),
+                       F.col("col.explained").alias("explained"), "identity_error")

@@ -122,12 +122,10 @@ def score(docs: DataFrame, voters: Voters, text: str = "text", doc_id: str = "do
     Rows without an id are not held out. Columns with the new names are replaced. An empty table gives an
     empty table.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(voters)
-
     @F.pandas_udf("double")
     def vote(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(shared.value.scores([t if isinstance(t, str) else "" for t in batch]))
+            yield pd.Series(voters.scores([t if isinstance(t, str) else "" for t in batch]))
 
     held = F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == HELD_OUT
     rows = docs.select(whole_row(docs), F.coalesce(held, F.lit(False)).alias("held_out"), vote(F.col(text)).alias("score"))
