@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_NO_VALUE = "\u0000"
+MANY_CATEGORIES = 1000
 
 
 def pearson(
@@ -28,42 +28,55 @@ def pearson(
     return one_row.unpivot([], list(cols), "feature", "corr")
 
 
-def _nominal_cells(df: DataFrame, nominal: Sequence[str]) -> DataFrame:
-    """Counts of each full combination of nominal values, nulls as a category."""
-    named = [F.coalesce(F.col(c).cast("string"), F.lit(_NO_VALUE)).alias(c) for c in nominal]
-    return df.select(*named).groupBy(*nominal).agg(F.count(F.lit(1)).alias("n"))
+def _check_nulls(nulls: str) -> None:
+    if nulls not in ("skip", "zero"):
+        raise ValueError(f"unknown null policy {nulls!r}")
 
 
-def cramers_v(df: DataFrame, nominal: Sequence[str], bias_correction: bool = True) -> DataFrame:
-    """Cramér's V of every pair of nominal columns: `a`, `b`, `kind`, `value`.
+def category_sizes(df: DataFrame, nominal: Sequence[str], above: int = MANY_CATEGORIES) -> DataFrame:
+    """`column`, `categories` (estimated) of the columns with more than `above` values, in one scan.
 
-    The table is counted per combination of values first; pairs are formed from those counts. The
-    value is null where a column has one value only.
+    Columns like ids make a cell of almost every row: associations with them take as many cells as there are rows,
+    and say little.
+    """
+    one_row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in nominal])
+    return one_row.unpivot([], list(nominal), "column", "categories").filter(F.col("categories") > above)
+
+
+def pair_cells(df: DataFrame, nominal: Sequence[str]) -> DataFrame:
+    """`a`, `b`, `va`, `vb`, `n`: how often the values of each pair of columns meet. Null is a value.
+
+    One scan: a row gives one cell per pair, and cells are counted on the map side.
     """
     pairs = [
         F.struct(
-            F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("va"), F.col(b).alias("vb")
+            F.lit(a).alias("a"), F.lit(b).alias("b"),
+            F.col(a).cast("string").alias("va"), F.col(b).cast("string").alias("vb"),
         )
         for a, b in combinations(nominal, 2)
     ]
-    cells = (
-        _nominal_cells(df, nominal)
-        .select("n", F.explode(F.array(*pairs)).alias("p"))
-        .select("p.*", "n")
-        .groupBy("a", "b", "va", "vb")
-        .agg(F.sum("n").alias("n"))
-    )
-    row_sums = cells.groupBy("a", "b", "va").agg(F.sum("n").alias("r"))
-    col_sums = cells.groupBy("a", "b", "vb").agg(F.sum("n").alias("c"))
+    cells = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
+    return cells.groupBy("a", "b", "va", "vb").agg(F.count(F.lit(1)).alias("n"))
+
+
+def cramers_v(df: DataFrame, nominal: Sequence[str], bias_correction: bool = True) -> DataFrame:
+    """Cramér's V of every pair of nominal columns: `a`, `b`, `kind`, `value`.
+
+    Margins are windows over the cells of a pair that share a value. The value is null where a column has one value
+    only.
+    """
+    cells = pair_cells(df, nominal)
+    for value, margin, first in (("va", "r", "first_r"), ("vb", "c", "first_c")):
+        other = "vb" if value == "va" else "va"
+        same = Window.partitionBy("a", "b", value)
+        cells = cells.withColumns({
+            margin: F.sum("n").over(same), first: F.row_number().over(same.orderBy(other)) == 1,
+        })
     share = F.col("n").cast("double") / F.col("r") * (F.col("n").cast("double") / F.col("c"))
-    fit = (
-        cells.join(row_sums, ["a", "b", "va"])
-        .join(col_sums, ["a", "b", "vb"])
-        .groupBy("a", "b")
-        .agg(F.sum(share).alias("share"), F.sum("n").cast("double").alias("n"))
+    fit = cells.groupBy("a", "b").agg(
+        F.sum(share).alias("share"), F.sum("n").cast("double").alias("n"),
+        F.count_if("first_r").cast("double").alias("r"), F.count_if("first_c").cast("double").alias("k"),
     )
-    n_rows = row_sums.groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("r"))
-    n_cols = col_sums.groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("k"))
     phi2 = F.greatest(F.col("share") - 1.0, F.lit(0.0))
     r, k, n = F.col("r"), F.col("k"), F.col("n")
     if bias_correction:
@@ -74,76 +87,59 @@ def cramers_v(df: DataFrame, nominal: Sequence[str], bias_correction: bool = Tru
         )
     else:
         side = F.least(k, r) - 1
-    return (
-        fit.join(n_rows, ["a", "b"])
-        .join(n_cols, ["a", "b"])
-        .select(
-            "a",
-            "b",
-            F.lit("cramers_v").alias("kind"),
-            F.sqrt(F.try_divide(phi2, F.when(side > 0, side))).alias("value"),
-        )
+    return fit.select(
+        "a",
+        "b",
+        F.lit("cramers_v").alias("kind"),
+        F.sqrt(F.try_divide(phi2, F.when(side > 0, side))).alias("value"),
     )
 
 
-def correlation_ratio(df: DataFrame, nominal: Sequence[str], numeric: Sequence[str]) -> DataFrame:
+def correlation_ratio(
+    df: DataFrame, nominal: Sequence[str], numeric: Sequence[str], nulls: str = "skip"
+) -> DataFrame:
     """Correlation ratio of every (nominal, numeric) pair: `a`, `b`, `kind`, `value`.
 
-    Numbers are centred on their mean first, which keeps the sums of squares exact enough on
-    very long tables. Null numbers are left out; a null category is a category.
+    One scan: counts, means and variances per category of each column, which Spark merges without loss of digits.
+    Null numbers are left out (nulls="skip") or count as 0 ("zero"); a null category is a category.
     """
-    mean = df.agg(F.struct(*[F.avg(c).alias(c) for c in numeric])).scalar()
-    categories = [F.coalesce(F.col(c).cast("string"), F.lit(_NO_VALUE)).alias(c) for c in nominal]
-    centred = df.select(*categories, *[(F.col(c) - mean[c]).alias(f"_{c}") for c in numeric])
-    per_cell = centred.groupBy(*nominal).agg(
-        *[
-            F.struct(
-                F.count(f"_{c}").alias("n"),
-                F.sum(f"_{c}").alias("s"),
-                F.sum(F.col(f"_{c}") * F.col(f"_{c}")).alias("q"),
-            ).alias(f"_{c}")
-            for c in numeric
-        ]
-    )
-    pairs = [
-        F.struct(
-            F.lit(a).alias("a"),
-            F.lit(b).alias("b"),
-            F.col(a).alias("va"),
-            F.col(f"_{b}.n").alias("n"),
-            F.col(f"_{b}.s").alias("s"),
-            F.col(f"_{b}.q").alias("q"),
-        )
-        for a in nominal
-        for b in numeric
-    ]
-    groups = (
-        per_cell.select(F.explode(F.array(*pairs)).alias("p"))
-        .select("p.*")
-        .groupBy("a", "b", "va")
-        .agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
-    )
-    sums = groups.groupBy("a", "b").agg(
-        F.sum(F.try_divide(F.col("s") * F.col("s"), F.col("n").cast("double"))).alias("between"),
-        F.sum("q").alias("q"),
-        F.sum("s").alias("s"),
-        F.sum("n").cast("double").alias("n"),
-    )
-    correction = F.try_divide(F.col("s") * F.col("s"), F.col("n"))
-    between = F.greatest(F.col("between") - correction, F.lit(0.0))
-    ratio = F.try_divide(between, F.col("q") - correction)
+    _check_nulls(nulls)
+    numbers = {b: F.col(b).cast("double") for b in numeric}
+    if nulls == "zero":
+        numbers = {b: F.coalesce(x, F.lit(0.0)) for b, x in numbers.items()}
+    columns = F.array(*[F.struct(F.lit(a).alias("a"), F.col(a).cast("string").alias("va")) for a in nominal])
+    rows = df.select(F.explode(columns).alias("p"), *[x.alias(f"x{i}") for i, x in enumerate(numbers.values())])
+    per_value = rows.groupBy("p.a", "p.va").agg(*[
+        F.struct(F.lit(b).alias("b"), F.count(f"x{i}").cast("double").alias("n"), F.avg(f"x{i}").alias("m"),
+                 F.var_pop(f"x{i}").alias("v")).alias(f"s{i}")
+        for i, b in enumerate(numeric)
+    ])
+    groups = per_value.select("a", F.explode(F.array(*[f"s{i}" for i in range(len(numeric))])).alias("s"))
+    groups = groups.select("a", "s.*").filter("n > 0")
+    # The mean of all is the weighted mean of the groups' means.
+    pair = Window.partitionBy("a", "b")
+    mean = F.sum(F.col("n") * F.col("m")).over(pair) / F.sum("n").over(pair)
+    off = F.col("m") - F.col("mean")
+    sums = groups.withColumn("mean", mean).groupBy("a", "b").agg(
+        F.sum(F.col("n") * off * off).alias("between"), F.sum(F.col("n") * F.col("v")).alias("within"))
+    between = F.col("between")
     return sums.select(
         "a",
         "b",
         F.lit("correlation_ratio").alias("kind"),
-        F.sqrt(F.when(between == 0, F.lit(0.0)).otherwise(ratio)).alias("value"),
+        F.sqrt(F.when(between == 0, F.lit(0.0)).otherwise(F.try_divide(between, between + F.col("within")))).alias("value"),
     )
 
 
-def numeric_pairs(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair of numeric columns: `a`, `b`, `kind`, `value`."""
+def numeric_pairs(df: DataFrame, numeric: Sequence[str], nulls: str = "skip") -> DataFrame:
+    """Pearson correlation of every pair of numeric columns: `a`, `b`, `kind`, `value`.
+
+    Rows with a null in a pair are left out of it (nulls="skip"), or nulls count as 0 ("zero").
+    """
+    _check_nulls(nulls)
+    value = (lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))) if nulls == "zero" else F.col
     pairs = list(combinations(numeric, 2))
-    one_row = df.agg(*[F.corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+    one_row = df.agg(*[F.corr(value(a), value(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
     rows = [
         F.struct(
             F.lit(a).alias("a"),
@@ -161,15 +157,25 @@ def association_matrix(
     nominal: Sequence[str],
     numeric: Sequence[str],
     bias_correction: bool = True,
+    nulls: str = "skip",
+    max_categories: int | None = None,
 ) -> DataFrame:
-    """All pairs of columns, each once, by the measure that fits their kinds."""
+    """All pairs of columns, each once, by the measure that fits their kinds.
+
+    `nulls` is "skip" or "zero", as for the parts. With `max_categories`, a nominal column of more values raises
+    before any cell is counted (see `category_sizes`).
+    """
+    if max_categories is not None and nominal:
+        many = [r["column"] for r in category_sizes(df, nominal, max_categories).collect()]
+        if many:
+            raise ValueError(f"more than {max_categories} categories: {', '.join(sorted(many))}")
     parts = []
     if len(nominal) > 1:
         parts.append(cramers_v(df, nominal, bias_correction))
     if nominal and numeric:
-        parts.append(correlation_ratio(df, nominal, numeric))
+        parts.append(correlation_ratio(df, nominal, numeric, nulls))
     if len(numeric) > 1:
-        parts.append(numeric_pairs(df, numeric))
+        parts.append(numeric_pairs(df, numeric, nulls))
     if not parts:
         raise ValueError("two columns or more are needed")
     matrix = parts[0]

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evkit.functions import as_col, safe_ratio
 
@@ -82,15 +83,16 @@ def add_ratio(df: DataFrame, num: str, den: str, out: str) -> DataFrame:
 def slice_rows(df: DataFrame, **selection: Sequence | DataFrame) -> DataFrame:
     """Keep rows whose columns all hold a selected value.
 
-    A selection is a list, or a one-column DataFrame which is then joined as a left semi join.
+    A selection is a list, or a one-column DataFrame which is then joined as a left semi join; so are long lists.
     """
     for col, wanted in selection.items():
+        if not isinstance(wanted, DataFrame) and len(wanted) > MAX_INLINE_VALUES:
+            values = [(v,) for v in wanted if v is not None]
+            wanted = df.sparkSession.createDataFrame(values, T.StructType([T.StructField("value", df.schema[col].dataType)]))
         if isinstance(wanted, DataFrame):
             name = wanted.columns[0]
             chosen = wanted.select(F.col(name).alias("_wanted"))
             df = df.join(chosen, F.col(col) == F.col("_wanted"), "left_semi")
-        elif len(wanted) > MAX_INLINE_VALUES:
-            raise ValueError(f"{len(wanted)} values for {col}: pass them as a DataFrame")
         else:
             df = df.filter(F.col(col).isin(list(wanted)))
     return df

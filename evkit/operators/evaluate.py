@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evkit.functions import safe_ratio
 from evkit.operators.blocks import BLOCK, ROWS_PER_TASK, ordered_blocks
+from evkit.operators.ranks import running_sums
+from evkit.session import write_once
 
 
 def confusion_counts(scored: DataFrame, label: str, pred: str) -> DataFrame:
@@ -71,19 +75,43 @@ def rank_auc(
     return summed.agg(F.try_divide(wins, F.sum("p") * F.sum("n")).alias("auc"))
 
 
-def evaluate(scored: DataFrame, label: str, prob: str, pred: str) -> DataFrame:
-    """One row: accuracy, precision, recall, auc, tp, fp, tn, fn.
+def evaluate(
+    scored: DataFrame, label: str, prob: str, pred: str, by: Sequence[str] = (), rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """accuracy, precision, recall, auc, tp, fp, tn, fn; one row, or one per value of `by`.
 
-    Precision and recall are null where nothing was predicted, or nothing is positive. The rows are
-    read three times (counts, distinct scores, curve), so write freshly scored ones to files first.
+    The rows are read once and counted per distinct score; every metric comes from those counts. Precision and recall
+    are null where nothing was predicted, or nothing is positive, `auc` where a class is absent. Beyond
+    `rows_per_task` distinct scores, the sums along the score are made in ranges.
     """
-    counts = confusion_counts(scored, label, pred)
+    truth, guess = F.col(label) == 1, F.col(pred) == 1
+    cells = scored.groupBy(*by, F.col(prob).alias("_score")).agg(
+        F.count_if(truth & guess).alias("tp"), F.count_if(~truth & guess).alias("fp"),
+        F.count_if(~truth & ~guess).alias("tn"), F.count_if(truth & ~guess).alias("fn"),
+        F.count_if(truth).alias("_p"), F.count_if(~truth).alias("_n"),
+    )
+    cells = write_once(cells, "score-cells")
+    ranked = cells.filter(F.col("_score").isNotNull())
+    if cells.count() <= rows_per_task:
+        earlier = Window.partitionBy(*by or [F.lit(0)]).orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)
+        ranked = ranked.withColumn("_below", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    else:
+        ranked = running_sums(ranked, list(by), ["_score"], {"_n": "_below"})
+    # Rows without a score count in all but the area.
+    rest = cells.filter(F.col("_score").isNull()).withColumns({c: F.lit(0).cast("long") for c in ("_p", "_n", "_below")})
+    p, n = F.col("_p").cast("double"), F.col("_n").cast("double")
+    wins = F.sum(p * (F.col("_below") + n / 2))
+    sums = ranked.unionByName(rest).groupBy(*by).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "tn", "fn")],
+        F.try_divide(wins, F.sum(p) * F.sum(n)).alias("auc"),
+    )
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
-    return counts.select(
+    return sums.select(
+        *by,
         safe_ratio(tp + tn, tp + fp + tn + fn).alias("accuracy"),
         safe_ratio(tp, tp + fp).alias("precision"),
         safe_ratio(tp, tp + fn).alias("recall"),
-        rank_auc(scored, label, prob).scalar().alias("auc"),
+        "auc",
         "tp",
         "fp",
         "tn",

@@ -49,6 +49,15 @@ def duplicate_keys(dim: DataFrame, on: Sequence[str]) -> DataFrame:
     return dim.groupBy(*on).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
 
 
+def require_unique(dim: DataFrame, on: Sequence[str], name: str = "dimension") -> DataFrame:
+    """`dim`, after a count of its keys that raises if one is there twice: it would multiply fact rows."""
+    found = duplicate_keys(dim, on).limit(5).collect()
+    if found:
+        shown = "; ".join(", ".join(str(r[c]) for c in on) for r in found)
+        raise ValueError(f"{name} has several rows for: {shown}")
+    return dim
+
+
 def lookup_mean(
     df: DataFrame,
     dim: DataFrame,

@@ -6,6 +6,7 @@ from evkit.plans.catalog import (  # noqa: F401
     models,
     profiles,
     rows,
+    streams,
     tallies,
     values,
 )

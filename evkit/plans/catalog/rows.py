@@ -185,7 +185,7 @@ def filled_labels(t: Tables) -> DataFrame:
     return filled.withColumn("quality", F.round("quality", 6))
 
 
-@query("B30 B1 F1", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+@query("B30 B1", "SELECT c_custkey, c_name, c_acctbal FROM customer")
 def wanted_columns(t: Tables) -> DataFrame:
     """Of the wanted columns, those that the table has."""
     customers = t("customer")

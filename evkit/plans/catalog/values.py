@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evkit.operators.conform import slice_rows
 from evkit.operators.joins import denormalize
 from evkit.operators.profile import argmax_row, rankings
 from evkit.operators.value import (
-    over_under,
     over_under_games,
     over_under_pivot,
     summarize_games,
@@ -19,10 +18,12 @@ from evkit.plans.catalog.shared import (
     ATTEMPTS_SQL,
     EVENTS_SQL,
     attempts,
+    conferences,
     order_owners,
     valued_lines,
 )
-from evkit.session import write_once
+from evkit.session import scratch_path, write_once
+from evkit.sources import read_scored, replace_partitions, write_sorted
 
 
 def games_sql(entity: str) -> str:
@@ -70,7 +71,7 @@ def over_under_by_customer_min_games(t: Tables) -> DataFrame:
                round(delta_pct, 6) AS delta_pct FROM ({games_sql("team")})""",
 )
 def game_totals(t: Tables) -> DataFrame:
-    games = over_under_games(attempts(t), "game", "team")
+    games = team_games(t).select(F.col("l_orderkey").alias("game"), "team", "total_xp", "total_pts", "over", "delta", "delta_pct")
     return games.withColumn("delta_pct", F.round("delta_pct", 6))
 
 
@@ -119,7 +120,7 @@ def worst_customers(t: Tables) -> DataFrame:
 
 
 @query(
-    "D13 D11",
+    "D13",
     f"""SELECT team, avg_delta FROM ({summary_sql("team")})
         ORDER BY avg_delta DESC, team LIMIT 1""",
 )
@@ -153,8 +154,9 @@ def nation_rate_averages(t: Tables) -> DataFrame:
 )
 def region_slice(t: Tables) -> DataFrame:
     wanted = t("nation").filter("n_nationkey % 2 = 0").select("n_name")
-    chosen = slice_rows(attempts(t), conf=["ASIA", "EUROPE"], team=wanted)
-    return over_under(chosen, "game", "team").select("team", "outperform", "total")
+    games = denormalize(team_games(t), [(conferences(t), {"team": "team"}, "")])
+    chosen = slice_rows(games, conf=["ASIA", "EUROPE"], team=wanted)
+    return summarize_games(chosen, "team").select("team", "outperform", "total")
 
 
 @query(
@@ -178,3 +180,42 @@ def scored_round_trip(t: Tables) -> DataFrame:
         .groupBy("conf", "team")
         .agg(F.count(F.lit(1)).alias("attempts"), F.sum("xp").alias("xp"), F.sum("pts").alias("pts"))
     )
+
+
+@query(
+    "A3 C6",
+    f"""SELECT conf, team, count(*) AS attempts, sum(xp) AS xp, sum(pts)::BIGINT AS pts
+        FROM ({ATTEMPTS_SQL}) GROUP BY conf, team""",
+)
+def scored_partitions_replaced(t: Tables) -> DataFrame:
+    """A first run that misses two of five attempts, then runs per conference that replace its partitions, one twice."""
+    path = scratch_path(t.spark, "scored-partitions")
+    scored = attempts(t).select("game", "team", "conf", "xp", "pts")
+    replace_partitions(scored.filter("game % 5 > 1"), path, ["conf"])
+    for confs in (["ASIA"], ["ASIA", "EUROPE"], ["AFRICA", "AMERICA", "MIDDLE EAST"]):
+        replace_partitions(scored.filter(F.col("conf").isin(confs)), path, ["conf"])
+    replace_partitions(scored.filter(F.col("conf").isNull()), path, ["conf"])
+    return read_scored(t.spark, path).groupBy("conf", "team").agg(
+        F.count(F.lit(1)).alias("attempts"), F.sum("xp").alias("xp"), F.sum("pts").alias("pts"))
+
+
+SORTED = ["o_orderpriority", "-o_totalprice", "o_orderkey"]
+
+
+@query(
+    "F1",
+    """SELECT o_orderkey, o_orderpriority, o_totalprice,
+              row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) - 1 AS place FROM orders""",
+)
+def sorted_orders(t: Tables) -> DataFrame:
+    """All orders in one order, mixed directions, as files; each row's place follows from its file and row."""
+    path = scratch_path(t.spark, "sorted-orders")
+    write_sorted(t("orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), path, SORTED, files=7)
+    rows = t.spark.read.parquet(path).select(
+        "*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    # One row per file; names begin with the number of the range.
+    files = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    files = files.select(F.col("file").alias("of"), F.coalesce(before, F.lit(0)).alias("ahead"))
+    return rows.join(files, F.col("file") == F.col("of")).select(
+        "o_orderkey", "o_orderpriority", "o_totalprice", (F.col("ahead") + F.col("row")).alias("place"))

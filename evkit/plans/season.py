@@ -18,15 +18,17 @@ from evkit.functions import (
     text_to_label,
 )
 from evkit.operators import conform
+from evkit.operators.boosting import Boosted, fit_boosted
 from evkit.operators.evaluate import evaluate, rank_auc
-from evkit.operators.joins import denormalize, lookup_mean, unmatched_keys
+from evkit.operators.joins import denormalize, lookup_mean, require_unique, unmatched_keys
 from evkit.operators.model import (
-    build_pipeline,
-    fit,
+    load_model,
+    save_model,
     score,
     score_scenarios,
     stratified_split,
     temporal_split,
+    train_model,
 )
 from evkit.operators.profile import facet_counts, top_k
 from evkit.operators.value import expected_value, over_under
@@ -73,7 +75,7 @@ class Season(NamedTuple):
 class SituationModel(NamedTuple):
     """Boosted trees on the shot situation, with the hold-out area under the curve."""
 
-    model: PipelineModel
+    model: Boosted
     auc: DataFrame
     base_rate: DataFrame
 
@@ -150,7 +152,7 @@ def build_master(
     mode: str = "corrected",
 ) -> DataFrame:
     """Shots with shooter and defence columns: one row per shot."""
-    teams = clean_teams(season.teams)
+    teams = require_unique(clean_teams(season.teams), ["team"], "teams")
     players = clean_players(season.players, min_games)
     shots = denormalize(
         clean_shots(season.shots, codes, mode),
@@ -200,15 +202,14 @@ def fit_make_model(
     kind: str = "lr",
     with_tallies: bool = False,
     **params: object,
-) -> tuple[PipelineModel, DataFrame]:
+) -> tuple[PipelineModel | Boosted, DataFrame]:
     """(fitted model, hold-out rows): games up to `cutoff` train, later ones are held out."""
     train, test = temporal_split(features, "game_id", cutoff)
     numbers = MODEL_NUMBERS + (TALLY_NUMBERS if with_tallies else [])
-    pipeline = build_pipeline(kind, MODEL_CATEGORIES, numbers, "shot_cat", **params)
-    return fit(pipeline, train), test
+    return train_model(kind, train, MODEL_CATEGORIES, numbers, "shot_cat", **params), test
 
 
-def score_shots(model: PipelineModel, shots: DataFrame) -> DataFrame:
+def score_shots(model: PipelineModel | Boosted, shots: DataFrame) -> DataFrame:
     """Scored shots: the table that the reports read."""
     scored = score(model, shots, "prob_made").withColumn(
         "shot_pt", point_value_from_type("shot_type")
@@ -309,24 +310,32 @@ def fit_situation_model(
     rows = conform.drop_incomplete(rows, cats + nums).select(row_id, *cats, *nums, "made")
     rows = write_once(rows, "situations")
     watched = F.pmod(F.xxhash64(F.col(row_id), F.lit("stop")), F.lit(10)) == 0
-    rows = rows.withColumn("_watched", watched)
     train, test = stratified_split(rows, row_id, "made", frac, mode=mode)
-    pipeline = build_pipeline("gbt", cats, nums, "made", validation="_watched", **params)
-    held_out = score(fit(pipeline, train), test)
+    held_out = score(fit_boosted(train, cats, nums, "made", watched, **params), test)
     return SituationModel(
-        fit(pipeline, rows),
+        fit_boosted(rows, cats, nums, "made", watched, **params),
         rank_auc(held_out, "made", "prob"),
         rows.agg(F.avg("made").alias("base_rate")),
     )
 
 
+def keep_situation_model(fitted: SituationModel, path: str) -> None:
+    """Save the model, its base rate and its area under the curve below `path`, on shared storage."""
+    save_model(fitted.model, fitted.base_rate, path)
+    fitted.auc.coalesce(1).write.mode("overwrite").parquet(f"{path}/auc")
+
+
+def kept_situation_model(spark: SparkSession, path: str) -> SituationModel:
+    """A kept model, ready to score scenarios in any session, without a fit."""
+    model, rate = load_model(spark, path)
+    base = spark.createDataFrame([(rate,)], "base_rate double")
+    return SituationModel(model, spark.read.parquet(f"{path}/auc"), base)
+
+
 def score_situations(fitted: SituationModel, scenarios: DataFrame) -> DataFrame:
     """Probability, expected points and lift for any number of situations at once."""
-    value = point_value_from_zone("basic_zone")
-    with_value = scenarios.withColumns({"shot_pt": value, "_watched": F.lit(False)})
-    return score_scenarios(
-        fitted.model, with_value, "shot_pt", fitted.base_rate.scalar()
-    ).drop("_watched")
+    with_value = scenarios.withColumn("shot_pt", point_value_from_zone("basic_zone"))
+    return score_scenarios(fitted.model, with_value, "shot_pt", fitted.base_rate.scalar())
 
 
 def situation_choices(shots: DataFrame, cols: Sequence[str] = SITUATION_CATEGORIES) -> DataFrame:

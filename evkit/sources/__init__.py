@@ -1,5 +1,23 @@
 """Scans, sinks and schemas."""
 
-from evkit.sources.files import present, read_scored, read_table, row_counts, write_scored
+from evkit.sources.files import (
+    order_breaks,
+    present,
+    read_scored,
+    read_table,
+    replace_partitions,
+    row_counts,
+    write_scored,
+    write_sorted,
+)
 
-__all__ = ["present", "read_scored", "read_table", "row_counts", "write_scored"]
+__all__ = [
+    "order_breaks",
+    "present",
+    "read_scored",
+    "read_table",
+    "replace_partitions",
+    "row_counts",
+    "write_scored",
+    "write_sorted",
+]

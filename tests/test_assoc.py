@@ -95,3 +95,49 @@ def test_strong_associations(mixed):
     strong = {r.feature: r.value for r in A.strong_associations(matrix, "v", 0.3).collect()}
     assert strong["w"] == 1.0 and "a" in strong
     assert all(v > 0.3 for v in strong.values())
+
+
+def scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_each_measure_scans_the_table_once(spark, tmp_path, mixed):
+    mixed[1].write.parquet(f"{tmp_path}/mixed")
+    df = spark.read.parquet(f"{tmp_path}/mixed")
+    assert scans(A.cramers_v(df, ["a", "b", "c"])) == 1
+    assert scans(A.correlation_ratio(df, ["a", "b"], ["v", "w"])) == 1
+    assert scans(A.numeric_pairs(df, ["v", "w", "t"])) == 1
+    assert scans(A.category_sizes(df, ["a", "b", "t"])) == 1
+
+
+def test_null_categories_are_no_text(spark):
+    rows = [(None, "x"), (None, "x"), ("\u0000", "y"), ("\u0000", "y"), ("", "z"), ("", "z")]
+    df = table(spark, "a string, b string", rows)
+    assert by_pair(A.cramers_v(df, ["a", "b"], False))[("a", "b")] == pytest.approx(1.0)
+
+
+def test_null_numbers_as_zero(spark):
+    df = table(spark, "a string, v double, w double", [("x", 1.0, None), ("x", None, 2.0), ("y", 5.0, 3.0), (None, 4.0, 1.0)])
+    filled = df.na.fill(0.0, ["v", "w"])
+    for nulls, other in (("zero", filled), ("skip", df)):
+        assert by_pair(A.correlation_ratio(df, ["a"], ["v"], nulls)) == by_pair(A.correlation_ratio(other, ["a"], ["v"]))
+        assert by_pair(A.numeric_pairs(df, ["v", "w"], nulls)) == by_pair(A.numeric_pairs(other, ["v", "w"]))
+    assert len(by_pair(A.association_matrix(df, ["a"], ["v", "w"], nulls="zero"))) == 3
+    with pytest.raises(ValueError):
+        A.numeric_pairs(df, ["v", "w"], "mean")
+
+
+def test_columns_of_too_many_categories(mixed):
+    _, df = mixed
+    found = {r["column"]: r.categories for r in A.category_sizes(df, ["a", "b", "t"], 100).collect()}
+    assert set(found) == {"t"} and abs(found["t"] - 400) < 40
+    with pytest.raises(ValueError, match="t"):
+        A.association_matrix(df, ["a", "t"], ["v"], max_categories=100)
+
+
+def test_correlation_ratio_of_large_close_numbers(spark):
+    rows = [("xy"[i % 2], 1e9 + (i % 2) + (i % 5) / 10) for i in range(1000)]
+    got = by_pair(A.correlation_ratio(table(spark, "a string, v double", rows), ["a"], ["v"]))[("a", "v")]
+    values = [(a, v - 1e9) for a, v in rows]
+    small = by_pair(A.correlation_ratio(table(spark, "a string, v double", values), ["a"], ["v"]))[("a", "v")]
+    assert got == pytest.approx(small, rel=1e-6)

@@ -1,3 +1,5 @@
+import pytest
+
 from evkit.operators import joins as J
 from evkit.operators.entity import entity_profile, entity_vs_average
 from tests.conftest import rows_of, table
@@ -82,3 +84,10 @@ def test_hot_keys_are_split_and_nothing_is_lost(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_dimensions_must_be_unique(spark):
+    dim = table(spark, "k int, v string", [(1, "a"), (2, "b"), (2, "c")])
+    assert J.require_unique(dim.filter("k = 1"), ["k"]).count() == 1
+    with pytest.raises(ValueError, match="teams has several rows for: 2"):
+        J.require_unique(dim, ["k"], "teams")

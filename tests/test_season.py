@@ -172,7 +172,7 @@ def test_team_tables(season):
 def test_situation_model(spark, season):
     big = many_games(spark, season, 200)
     shots = big.shots.withColumn("row_id", F.xxhash64(*big.shots.columns))
-    fitted = P.fit_situation_model(shots, big.players, "row_id", maxIter=5, minInstancesPerNode=20)
+    fitted = P.fit_situation_model(shots, big.players, "row_id", rounds=5, min_rows=20)
     assert 0.5 < fitted.auc.first().auc <= 1.0
     scenarios = table(
         spark,
@@ -187,6 +187,18 @@ def test_situation_model(spark, season):
         assert r.xp == pytest.approx(r.prob * r.shot_pt) and r.lift == pytest.approx(r.prob / base)
 
 
+def test_kept_situation_model_scores_without_a_fit(spark, season, tmp_path):
+    big = many_games(spark, season, 50)
+    shots = big.shots.withColumn("row_id", F.xxhash64(*big.shots.columns))
+    fitted = P.fit_situation_model(shots, big.players, "row_id", rounds=3, min_rows=10)
+    P.keep_situation_model(fitted, f"{tmp_path}/kept")
+    kept = P.kept_situation_model(spark.newSession(), f"{tmp_path}/kept")
+    scenarios = P.situation_features(big.shots, big.players).limit(20)
+    cols = ["prob", "xp", "lift"]
+    assert rows_of(P.score_situations(kept, scenarios), *cols) == rows_of(P.score_situations(fitted, scenarios), *cols)
+    assert kept.auc.first().auc == fitted.auc.first().auc
+
+
 def test_tendencies_of_a_named_shooter_and_of_nobody(spark, season):
     df = table(spark, "player_name string", [("Gus Gray",), ("League average",), (None,)])
     got = {r.player_name: r.player_2p_pct for r in P.add_tendencies(df, season.players).collect()}

@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 from evkit import sources
 from evkit.plans.catalog.registry import Tables
 from evkit.session import clean_scratch, scratch_path, scratch_root, write_once
+from evkit.sources import order_breaks, replace_partitions, write_sorted
 from evkit.sources import schemas as S
 from tests.conftest import rows_of, table
 
@@ -134,3 +135,34 @@ def test_write_once_keeps_rows_and_cuts_the_plan(spark):
     back = write_once(df, "t")
     assert rows_of(back) == rows_of(df)
     assert "Exchange" not in plan(back)
+
+
+SCORED = "season int, conf string, xp double"
+
+
+def test_replacing_partitions_is_repeatable(spark, tmp_path):
+    path = f"{tmp_path}/scored"
+    first = [(1, "E", 1.0), (1, "W", 2.0), (2, "E", 3.0), (2, None, 4.0)]
+    replace_partitions(table(spark, SCORED, first), path, ["season", "conf"])
+    late = [(1, "E", 1.0), (1, "E", 1.5)]
+    for _ in range(2):
+        replace_partitions(table(spark, SCORED, late), path, ["season", "conf"])
+        assert rows_of(spark.read.parquet(path), "season", "conf", "xp") == rows_of(
+            table(spark, SCORED, [*late, *first[1:]]))
+    with pytest.raises(ValueError):
+        replace_partitions(table(spark, SCORED, late), path, [])
+
+
+def test_sorted_files_hold_one_order(spark, tmp_path):
+    rows = [(i % 7 if i % 11 else None, f"{i % 13}" if i % 5 else None, float(i * 37 % 101)) for i in range(500)]
+    df = table(spark, SCORED.replace("season int, conf string", "a int, b string"), rows).repartition(9)
+    for k, order in enumerate((["a", "-b", "xp"], ["-xp", "b"], ["-a", "-b", "-xp"])):
+        path = f"{tmp_path}/sorted{k}"
+        write_sorted(df, path, order, files=6)
+        assert spark.read.parquet(path).count() == 500 and order_breaks(spark, path, order).count() == 0
+        assert order_breaks(spark, path, ["xp", "a"]).count() > 0
+    # Sorted inside each file, not across files.
+    path = f"{tmp_path}/loose"
+    df.repartition(4).sortWithinPartitions("xp").write.parquet(path)
+    found = order_breaks(spark, path, ["xp"]).collect()
+    assert found and all(r["row"] == 0 for r in found)

@@ -1,0 +1,73 @@
+"""Streams of files against the batch operators."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from evkit.operators.value import over_under_games
+from evkit.streaming import closed_windows, read_games, read_log, stream_games, stream_windows
+from tests.conftest import rows_of, table
+
+SCHEMA = "game int, team string, at timestamp, xp double, pts int"
+
+
+def event(i, day, hour=12):
+    return (i % 3, "ab"[i % 2], dt.datetime(2024, 1, day, hour, i % 60), (i % 8) / 8, i % 4)
+
+
+def add_file(spark, folder, events):
+    table(spark, SCHEMA, events).coalesce(1).write.mode("append").parquet(folder)
+
+
+@pytest.fixture
+def places(tmp_path):
+    return [f"{tmp_path}/{name}" for name in ("log", "sink", "state")]
+
+
+def test_sums_equal_the_batch_and_go_on_with_new_files(spark, places):
+    log, sink, state = places
+    events = [event(i, 1 + i % 5) for i in range(200)]
+    add_file(spark, log, events[:80])
+    add_file(spark, log, events[80:120])
+    stream = lambda: stream_games(read_log(spark, log, SCHEMA, files=1), sink, state, "game", "team")
+    stream()
+    # Later files, one with events from before.
+    add_file(spark, log, events[120:])
+    stream()
+    stream()
+    cols = ["game", "team", "total_xp", "total_pts", "over", "delta", "delta_pct"]
+    batch = over_under_games(table(spark, SCHEMA, events), "game", "team")
+    assert rows_of(read_games(spark, sink, "game", "team"), *cols) == rows_of(batch, *cols)
+    assert len({r.batch for r in spark.read.parquet(sink).select("batch").distinct().collect()}) == 3
+
+
+def test_a_repeated_batch_replaces_its_own_sums(spark, places):
+    log, sink, state = places
+    add_file(spark, log, [event(i, 1) for i in range(20)])
+    stream_games(read_log(spark, log, SCHEMA), sink, state, "game", "team")
+    first = rows_of(read_games(spark, sink, "game", "team"))
+    # The same batch once more, as after a failure between the write and the commit.
+    stream_games(read_log(spark, log, SCHEMA), sink, f"{state}-lost", "game", "team")
+    assert rows_of(read_games(spark, sink, "game", "team")) == first
+
+
+def test_windows_close_behind_the_watermark(spark, places):
+    log, sink, state = places
+    run = lambda: stream_windows(read_log(spark, log, SCHEMA, files=1), sink, state, "at", "team")
+    early = [event(i, 1 + i % 4) for i in range(100)]
+    add_file(spark, log, early)
+    run()
+    # The last event is of day 4: with a day's patience, days 1 and 2 are closed.
+    days = lambda: {(r.start.day, r.team) for r in closed_windows(spark, sink).collect()}
+    assert {d for d, _ in days()} == {1, 2}
+    add_file(spark, log, [event(1, 9), event(3, 3, 23), event(5, 1)])
+    run()
+    add_file(spark, log, [event(2, 12)])
+    run()
+    got = closed_windows(spark, sink)
+    # The event of day 3 came in time, that of day 1 too late.
+    want = table(spark, SCHEMA, [*early, event(1, 9), event(3, 3, 23)]).withColumn("day", F.dayofmonth("at"))
+    batch = over_under_games(want, "day", "team")
+    cols = ["team", "total_xp", "total_pts", "over"]
+    assert rows_of(got.withColumn("day", F.dayofmonth("start")), "day", *cols) == rows_of(batch, "day", *cols)
