@@ -18,7 +18,7 @@ from evkit.llm.quality import fit, score
 from evkit.llm.registry import QUERIES, SQL, query
 from evkit.llm.token_files import read_tokens, write_tokens
 from evkit.llm.vector_dedup import link_vectors
-from evkit.llm.warc import assemble, read_records, write_archive
+from evkit.llm.warc import assemble, payload_bytes, read_records, write_archive
 from evkit.llm.whitening import fit_whitening, whiten
 from evkit.session import scratch_path
 
@@ -82,7 +82,7 @@ def op7_warc(spark, folder):
     number = lambda name: F.regexp_extract(name, r":([^:>]*)>$", 1)
     return captures.select(
         number("capture.record_id").cast("long").alias("page_id"),
-        F.regexp_extract("metadata.content", "payload-bytes: ([0-9]+)", 1).cast("long").alias("payload_bytes"),
+        payload_bytes().alias("payload_bytes"),
         F.substring("capture.digest", 6, 40).alias("payload_digest"),
         F.col("capture.kind").alias("record_type"),
         F.when(F.col("capture.refers_to").isNotNull(), number("capture.refers_to").cast("long")).alias("refers_to"),

@@ -5,9 +5,9 @@ with two or more rows as a bitmap: the filter of possibly repeated hashes. Pass
 a probe of zero are certainly unique and pass straight through, with all their columns; only the others
 shuffle, where their full SHA-256 decides.
 
-* The bitmap has at most `max_bits` bits (default 2**26, 8 MB), whatever the input: that is the bound
-  of its broadcast. An input too large for it has more false alarms, so more rows shuffle; the result is
-  the same.
+* The bitmap has BITS_PER_ROW bits a row up to `max_bits` (default 2**30, 128 MB): that is the bound of its
+  broadcast. An input too large for it has more false alarms, so more rows shuffle; the result is the same.
+* Hashes are written once (pass 1); the counts of pass 1 and of the groups read them instead of the texts.
 * A group of copies of any size: groups are aggregated (map-side first) to one row each. Groups of more
   than rows / HOT_GROUPS rows number at most HOT_GROUPS, so their rows meet a broadcast; rows of the
   others are joined by hash.
@@ -19,10 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evkit.llm.common import lower_ascii, whole_row, with_new
+from evkit.session import write_once
 
 PROBES = 2
 BITS_PER_ROW = 16
-MAX_BITS = 1 << 26
+MAX_BITS = 1 << 30
 # Bits of one row of the bitmap table, as bitmap_bucket_number() has them.
 BUCKET_BITS = 32768
 HOT_GROUPS = 2000
@@ -64,39 +65,40 @@ def _marked(docs: DataFrame, text: str, doc_id: str, max_bits: int) -> DataFrame
     keyed = docs.select(
         whole_row(docs), F.col(doc_id).alias("id"), text_sha256(F.col(text)).alias("text_sha256")
     )
-    rows = docs.count()
+    hashes = write_once(keyed.select("id", "text_sha256"), "text-hashes")
+    rows = hashes.count()
     bits = _filter_bits(rows, max_bits)
-    maps = F.broadcast(repeated_positions(keyed, "text_sha256", bits))
+    maps = write_once(repeated_positions(hashes, "text_sha256", bits), "repeated-bits")
 
-    probed = keyed.withColumn("suspect", F.lit(True))
-    for place in _positions(F.col("text_sha256"), bits):
-        probed = probed.join(maps, F.bitmap_bucket_number(place) == F.col("bucket"), "left")
-        probed = probed.withColumn("suspect", F.col("suspect") & _bit(F.col("bitmap"), place))
-        probed = probed.drop("bucket", "bitmap")
+    def probed(table: DataFrame) -> DataFrame:
+        table = table.withColumn("suspect", F.lit(True))
+        for place in _positions(F.col("text_sha256"), bits):
+            table = table.join(F.broadcast(maps), F.bitmap_bucket_number(place) == F.col("bucket"), "left")
+            table = table.withColumn("suspect", F.col("suspect") & _bit(F.col("bitmap"), place))
+            table = table.drop("bucket", "bitmap")
+        return table
 
-    suspects = probed.filter("suspect").select("text_sha256", "id")
-    groups = suspects.groupBy(F.col("text_sha256").alias("sha")).agg(
+    groups = probed(hashes).filter("suspect").groupBy(F.col("text_sha256").alias("sha")).agg(
         F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
     )
+    groups = write_once(groups, "copy-groups")
     limit = max(1, rows // HOT_GROUPS)
     hot = groups.filter(F.col("group_size") > limit).select(
         F.col("sha").alias("hot_sha"), F.col("keep_id").alias("hot_id"),
         F.col("group_size").alias("hot_size"),
     )
-    probed = probed.join(F.broadcast(hot), F.col("text_sha256") == F.col("hot_sha"), "left")
+    marked = probed(keyed).join(F.broadcast(hot), F.col("text_sha256") == F.col("hot_sha"), "left")
     out = ["row", "id", "text_sha256"]
-    alone = probed.filter("NOT suspect").select(
-        *out, F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")
-    )
-    in_hot = probed.filter("suspect AND hot_size IS NOT NULL").select(
-        *out, F.col("hot_id").alias("keep_id"), F.col("hot_size").alias("group_size")
+    hot_or_alone = marked.filter("NOT suspect OR hot_size IS NOT NULL").select(
+        *out, F.when(F.col("suspect"), F.col("hot_id")).otherwise(F.col("id")).alias("keep_id"),
+        F.when(F.col("suspect"), F.col("hot_size")).otherwise(F.lit(1).cast("long")).alias("group_size")
     )
     in_small = (
-        probed.filter("suspect AND hot_size IS NULL")
+        marked.filter("suspect AND hot_size IS NULL")
         .join(groups.filter(F.col("group_size") <= limit), F.col("text_sha256") == F.col("sha"))
         .select(*out, "keep_id", "group_size")
     )
-    return alone.unionByName(in_hot).unionByName(in_small)
+    return hot_or_alone.unionByName(in_small)
 
 
 def mark_copies(

@@ -7,10 +7,10 @@ added or taken away by adding or subtracting its vector (`combined`, `without`).
 * EQUAL_LANES lanes of 60 bits each of the paragraph's SHA-256: equal documents have equal lanes, and others
   practically never.
 * One lane counts the paragraph's clauses.
-* HASHES * PLANES lanes hold FIELDS counters of 20 bits each: how many clauses have a certain bit of their hash
+* HASHES * PLANES lanes hold FIELDS counters of 30 bits each: how many clauses have a certain bit of their hash
   set. Twice a counter less the number of clauses is a sum of random signs, and such sums keep inner products: the
   cosine of two documents' sums estimates that of their multisets of clauses (`likeness`), with a standard error of
-  at most 1 / sqrt(120).
+  at most 1 / sqrt(120). A clause and its end take two bytes, so no text has as many clauses as a counter holds.
 
 `neighbours` finds the next document in descending id order: ids alone are sorted in ranges, and texts then move by
 id, which is unique, so no key is hot.
@@ -27,8 +27,8 @@ LANE_BITS = 60
 MASK = (1 << LANE_BITS) - 1
 EQUAL_LANES = 4
 HASHES = 2
-PLANES = 20
-FIELDS = 3
+PLANES = 30
+FIELDS = 2
 # One bit at the start of each counter of a lane.
 FIELD_BITS = sum(1 << (PLANES * i) for i in range(FIELDS))
 # Clauses end with one of these marks and spaces.
@@ -61,9 +61,10 @@ def fingerprint(text: Column) -> Column:
 
     def of_hashes(hashes: Column) -> Column:
         def plane(j: int):
-            return lambda h: F.shiftrightunsigned(h, j).bitwiseAND(F.lit(FIELD_BITS))
+            # Fewer than 2**30 clauses, so the sum stays below 2**60 by itself.
+            return lambda total, h: total + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(FIELD_BITS))
 
-        return F.array(*[_modular_sum(hashes, plane(j)) for j in range(PLANES)])
+        return F.array(*[F.aggregate(hashes, F.lit(0).cast("long"), plane(j)) for j in range(PLANES)])
 
     def of_clauses(clauses: Column) -> Column:
         def hashed(k: int) -> Column:
@@ -95,10 +96,7 @@ def fingerprint_text(vector: Column) -> Column:
 
 
 def _signs(vector: Column) -> Column:
-    """Twice each counter less the number of clauses: counters wrap at 2**20, so the sums do at 2**21.
-
-    A counter that wraps adds 1 to its neighbour, which moves a sum of over a million clauses by 2.
-    """
+    """Twice each counter less the number of clauses; after `without` counters may have wrapped, so modulo 2**31."""
     whole, half = 1 << (PLANES + 1), 1 << PLANES
     clauses = F.element_at(vector, COUNT_LANE + 1)
     counters = F.slice(vector, COUNT_LANE + 2, HASHES * PLANES)

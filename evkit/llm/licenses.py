@@ -86,7 +86,7 @@ def signature_rules() -> list[tuple[int, str, str, str]]:
             rules.append((f"{label}-{major}", keyword, f"{name} v?(?:ersion )?{version}"))
     rules += [(label, keyword, name) for label, keyword, name, _ in FAMILIES]
     rules += [(label, keyword, f"licensed under the {name}") for label, keyword, name, _ in FAMILIES]
-    return [(i, label, k, rf"(?<= )(?:{p})(?= )") for i, (label, k, p) in enumerate(rules)]
+    return [(i, label, f" {k} ", rf"(?<= )(?:{p})(?= )") for i, (label, k, p) in enumerate(rules)]
 
 
 def _words(piece: Column) -> Column:
@@ -112,7 +112,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
                                   F.lit(x).alias("pattern")) for p, name, k, x in rules])
 
     def detect(rules) -> Column:
-        """Spans of all rules whose keyword is in the text."""
+        """Spans of all rules whose keyword is a word of the text."""
         due = F.filter(rule_table(rules), lambda r: F.contains(F.col("plain"), r["keyword"]))
         return F.flatten(F.transform(due, lambda r: F.transform(
             match_spans(F.col("plain"), r["pattern"], _words),
@@ -120,7 +120,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
                                s["start"].alias("start"), s["end"].alias("end")),
         )))
 
-    base = [(i, label, phrase, f"(?<= ){phrase}(?= )") for i, (phrase, label) in enumerate(BASE.items())]
+    base = [(i, label, f" {phrase} ", f"(?<= ){phrase}(?= )") for i, (phrase, label) in enumerate(BASE.items())]
     rows = rows.select("row", "n_words", detect(base).alias("base"), detect(signature_rules()).alias("found"))
     # Ordered by start, longest first, then priority: only what began earlier or there can contain a span, and of
     # those the one that reaches furthest, so one pass suffices. Among spans kept so far that is the last one.

@@ -19,9 +19,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evkit.operators.ranks import ranked
 from evkit.session import write_once
 
 FAN = 8
@@ -45,23 +46,12 @@ def leaf_digest(*values: Column) -> Column:
 
 def _ranked(leaves: DataFrame, order: Sequence[str]) -> DataFrame:
     """`leaves` (tree, digest, ...) plus lo, hi (rank in its tree by `order`, then digest) and `height` of its tree."""
-    keys = ["tree", *order, "digest"]
-    placed = leaves.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    placed = write_once(placed.withColumn("place", F.monotonically_increasing_id()), "leaf-places")
-    # The upper bits of a place are the number of its range.
-    placed = placed.withColumn("part", F.shiftright("place", 33))
-    counts = placed.groupBy("tree", "part").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
-    own = Window.partitionBy("tree")
-    before = F.sum("n").over(own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    placed = ranked(leaves, ["tree"], [*order, "digest"], "lo")
     powers = F.array(*[F.lit(FAN**k) for k in range(MOST_LEVELS)])
-    counts = counts.select(
-        F.col("tree").alias("of_tree"), F.col("part").alias("of_part"),
-        (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"), F.sum("n").over(own).alias("size"))
-    counts = counts.withColumn("height", F.size(F.filter(powers, lambda p: p < F.col("size"))))
-    counts = write_once(counts, "range-counts")
-    ranked = placed.join(counts, (F.col("tree") == F.col("of_tree")) & (F.col("part") == F.col("of_part")))
-    lo = F.col("place") + F.col("shift")
-    return ranked.select(*leaves.columns, lo.alias("lo"), (lo + 1).alias("hi"), "height")
+    sizes = leaves.groupBy(F.col("tree").alias("of")).agg(F.count(F.lit(1)).alias("size"))
+    sizes = write_once(sizes.select("of", F.size(F.filter(powers, lambda p: p < F.col("size"))).alias("height")), "trees")
+    placed = placed.join(sizes, F.col("tree") == F.col("of"))
+    return placed.select(*leaves.columns, "lo", (F.col("lo") + 1).alias("hi"), "height")
 
 
 def build_levels(leaves: DataFrame, order: Sequence[str]) -> list[DataFrame]:
@@ -147,7 +137,7 @@ def manifest(docs: DataFrame, seen: Column | None = None, columns: Sequence[str]
     for more in tops[1:]:
         roots = roots.unionByName(more)
     last = build_levels(roots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest"), ["name"])
-    crown = last[-1].select(F.lit("").alias("of"), F.array().cast(CHAIN).alias("chain"), F.col("digest").alias("root"))
+    crown = last[-1].select(F.col("tree").alias("of"), F.array().cast(CHAIN).alias("chain"), F.col("digest").alias("root"))
     crowns = attach_proofs(last, crown).select(F.col("name").alias("of"), "chain", "root")
     proved = attach_proofs(levels, write_once(crowns, "crowns"))
     proved = proved.withColumn("folded_root", folded(F.col("seen"), F.col("chain")))

@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 from evkit.llm.common import whole_row, with_new
 from evkit.llm.spans import match_spans
 
-# Base kinds and patterns.
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
-IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
+# Base kinds and patterns, written so that Java neither recurses per repeat nor tries a run again
+# from each of its characters. Nothing follows the last group, and no class holds the sign after it, so taking runs
+# whole (possessively) finds the same matches; a match starts at a run's start or where the one before ended.
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 # The dealt pattern `[0-9]([\x20-]?[0-9])+`, with runs of digits in one step; at least two digits match.
-CARD = r"[0-9]+(?:[\x20-][0-9]+)*"
+CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BASE_KINDS = ("email", "ip", "card", "phone")
 # Wider candidates: kinds of the method.

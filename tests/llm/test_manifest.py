@@ -1,0 +1,109 @@
+"""The Merkle manifest against a plain one."""
+
+from __future__ import annotations
+
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from evkit.llm.manifest import COLUMNS, build_levels, leaf_digest, manifest
+from evkit.session import write_once
+
+SCHEMA = "doc_id long, source string, lang string, n_chars long, text string, chain string"
+
+
+def h(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def plain_leaf(row):
+    doc_id, source, lang, n_chars, text = row[:5]
+    return h(*["-" if v is None else f"{len(str(v).encode())}:{v}" for v in (doc_id, source, lang, n_chars, text)])
+
+
+def plain_tree(nodes):
+    """(root, chain of (left, right) per leaf)."""
+    chains = [[] for _ in nodes]
+    spans = [[i] for i in range(len(nodes))]
+    while len(nodes) > 1:
+        up, merged = [], []
+        for low in range(0, len(nodes), 8):
+            run = nodes[low:low + 8]
+            for k in range(len(run)):
+                for leaf in spans[low + k]:
+                    chains[leaf].append(("".join(run[:k]), "".join(run[k + 1:])))
+            up.append(h(*run))
+            merged.append([leaf for span in spans[low:low + 8] for leaf in span])
+        nodes, spans = up, merged
+    return nodes[0], chains
+
+
+def plain_manifest(rows):
+    groups = {}
+    for row in rows:
+        groups.setdefault(row[2], []).append(row)
+    names = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    trees = {}
+    for name in names:
+        own = sorted(groups[name], key=lambda r: (r[0] is not None, r[0] or 0, plain_leaf(r)))
+        trees[name] = (own, *plain_tree([plain_leaf(r) for r in own]))
+    root, tops = plain_tree([trees[n][1] for n in names])
+    out = []
+    for name, top in zip(names, tops):
+        own, subroot, chains = trees[name]
+        for row, chain in zip(own, chains):
+            proof = chain + top
+            out.append((row[0], plain_leaf(row), subroot, root, tuple(proof), h(*[x for pair in proof for x in pair])))
+    return out
+
+
+def check(spark, rows):
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = [(r["id"], r["leaf"], r["subroot"], r["root"], tuple((c["left"], c["right"]) for c in r["chain"]), r["proof_sha256"])
+           for r in manifest(frame).filter("verified AND folded_root = root").collect()]
+    assert sorted(got, key=repr) == sorted(plain_manifest(rows), key=repr)
+
+
+@pytest.mark.parametrize("sizes", [{"en": 1}, {"en": 8, "de": 9}, {"en": 75, "de": 64, None: 3, "": 1, "é": 17}])
+def test_manifest_equals_the_plain_one(spark, sizes):
+    rows, at = [], 0
+    for lang, n in sizes.items():
+        for _ in range(n):
+            at += 1
+            rows.append((at * 31 % 997, f"s{at % 3}" if at % 5 else None, lang, at if at % 4 else None,
+                         None if at % 6 == 0 else "Ünï text " * (at % 7), "clash"))
+    check(spark, rows)
+
+
+def test_many_groups_of_one_row(spark):
+    check(spark, [(i, None, f"l{i}", None, "x", "") for i in range(70)])
+
+
+def test_repeated_rows_and_rows_without_id(spark):
+    check(spark, [(None, "a", "en", 1, "t", ""), (None, "b", "en", 1, "t", "")] + [(4, "a", "en", 2, "same", "")] * 10)
+
+
+def test_a_long_text_and_an_empty_table(spark):
+    check(spark, [(1, "a", "en", 1, "word " * 400_000, ""), (2, "a", "en", 0, "", "")])
+    assert manifest(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_changed_rows_alone_fail(spark):
+    rows = [(i, "s", "en" if i % 3 else "de", i, f"Text {i}", "") for i in range(100)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    now = F.when(F.col("doc_id") % 10 == 0, F.lower("text")).otherwise(F.col("text"))
+    seen = leaf_digest(*[now if c == "text" else F.col(c) for c in COLUMNS])
+    got = {r["id"]: r["verified"] for r in manifest(frame, seen).collect()}
+    assert got == {i: i % 10 != 0 for i in range(100)}
+
+
+def test_labels_are_nested_intervals(spark):
+    leaves = spark.range(100).select(F.lit("t").alias("tree"), F.col("id").alias("k"), F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("digest"))
+    levels = build_levels(leaves, ["k"])
+    assert [n.count() for n in levels] == [100, 13, 2, 1]
+    tops = {(r["lo"], r["hi"]) for r in levels[2].collect()}
+    assert tops == {(0, 64), (64, 100)}
+    inner = write_once(levels[1].select("lo", "hi"), "t")
+    for row in inner.collect():
+        assert sum(lo <= row["lo"] and row["hi"] <= hi for lo, hi in tops) == 1

@@ -10,7 +10,7 @@ from evkit.llm.ngram_join import join_near
 from evkit.llm.packing import pack
 from evkit.llm.personal import find_personal, span_text
 from evkit.llm.token_files import decode_blocks, encode_blocks
-from evkit.llm.vector_dedup import link_vectors
+from evkit.llm.vector_dedup import link_vectors, nearest_cells
 
 
 def test_vectors_link_as_in_brute_force(spark):
@@ -32,6 +32,34 @@ def test_vectors_link_as_in_brute_force(spark):
     assert all(found[i]["n_links"] == 0 and found[i]["kept"] for i in range(900, 904))
 
 
+def test_vectors_of_several_lengths_link_within_their_length(spark):
+    rng = np.random.default_rng(9)
+    data = []
+    for width, start in ((4, 0), (9, 100)):
+        base = rng.normal(size=(12, width))
+        rows = np.concatenate([base, base * 2.0])
+        data += [(start + i, [float(x) for x in row]) for i, row in enumerate(rows)]
+    data += [(None, data[0][1]), (None, data[30][1]), (500, [3.0]), (501, [7.0]), (502, [-1.0])]
+    got = {r["vec_id"]: r for r in link_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect() if r["vec_id"] is not None}
+    for width, start in ((4, 0), (9, 100)):
+        unit = np.array([v for i, v in data if i is not None and start <= i < start + 24])
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        near = unit @ unit.T >= 0.95
+        for i in range(24):
+            assert got[start + i]["n_links"] == near[i].sum() - 1
+            assert got[start + i]["component_id"] <= start + i % 12
+    assert (got[501]["n_links"], got[501]["component_id"], got[502]["n_links"]) == (1, 500, 0)
+
+
+def test_nearest_cells_are_those_of_a_full_sort():
+    rng = np.random.default_rng(2)
+    rows, books = rng.normal(size=(40, 6)), [rng.normal(size=(9, 3)), rng.normal(size=(7, 3))]
+    far = ((rows[:, None, :3] - books[0]) ** 2).sum(-1)[:, :, None] + ((rows[:, None, 3:] - books[1]) ** 2).sum(-1)[:, None, :]
+    for visits in (1, 5, 20, 63):
+        want = np.argsort(far.reshape(40, -1), axis=1)[:, :visits]
+        assert (nearest_cells(rows, books, visits) == want).all()
+
+
 def test_near_texts_share_a_component(spark):
     words = [f"w{i}" for i in range(100)]
     data = [(5, " ".join(words)), (3, " ".join(words).upper()), (9, " ".join(words[:-2] + ["y", "z"])),

@@ -1,0 +1,107 @@
+"""The pipeline stage by stage against plain versions."""
+
+from __future__ import annotations
+
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline as P
+from evkit.llm.common import open_table
+from evkit.llm.tokens import load_tokenizer
+from evkit.session import write_once
+from tests.llm.test_ngram_join import plain_components
+from tests.llm.test_text_operators import plain_targets
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    """Each stage's rows, the documents first."""
+    docs = open_table(spark, FOLDER, "documents")
+    out = [docs]
+    for name, stage in P.STAGES:
+        out.append(write_once(stage(spark, out[-1], FOLDER), f"test-{name}"))
+    return out
+
+
+def texts_of(df):
+    return {r["doc_id"]: r["text"] for r in df.select("doc_id", "text").collect()}
+
+
+def test_all_but_the_last_return_the_columns_of_documents(stages):
+    assert all(df.columns == stages[0].columns for df in stages[1:-1])
+
+
+def test_rejected_documents_go_and_labelled_good_ones_stay(spark, stages):
+    kept = texts_of(stages[1])
+    labels = {r["doc_id"]: r["quality"] for r in open_table(spark, FOLDER, "labels").collect()}
+    good = [i for i, q in labels.items() if q == 1]
+    bad = [i for i, q in labels.items() if q == 0]
+    assert np.mean([i in kept for i in good]) > 0.95 and np.mean([i in kept for i in bad]) < 0.2
+    assert all(kept[i] == t for i, t in texts_of(stages[0]).items() if i in kept)
+
+
+def test_copies_go(stages):
+    before, after = texts_of(stages[1]), texts_of(stages[2])
+    low = lambda t: re.sub("[A-Z]", lambda m: m.group().lower(), t or "")
+    last = {}
+    for i, t in before.items():
+        last[low(t)] = max(i, last.get(low(t), i))
+    assert sorted(after) == sorted(last.values())
+
+
+def test_one_of_each_group_of_near_copies_stays(stages):
+    before, after = texts_of(stages[2]), texts_of(stages[3])
+    want, _ = plain_components(list(before.items()), P.WORDS, P.PERCENT)
+    assert sorted(after) == sorted(i for i, (_, low) in want.items() if low == i)
+
+
+def test_mix_meets_its_targets(stages):
+    before = stages[3].select("doc_id", "source", "text").collect()
+    taken = {r["doc_id"]: r["count"] for r in stages[4].groupBy("doc_id").count().collect()}
+    sizes, words, most = {}, {}, {}
+    for r in before:
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+        words[r["doc_id"]] = (r["source"], n)
+        sizes[r["source"]] = sizes.get(r["source"], 0) + n
+        most[r["source"]] = max(n, most.get(r["source"], 0))
+    found = dict.fromkeys(sizes, 0)
+    for i, (source, n) in words.items():
+        assert taken.get(i, 0) <= 2
+        found[source] += n * taken.get(i, 0)
+    for source, target in plain_targets(sizes).items():
+        assert abs(found[source] - target) <= most[source]
+
+
+def test_packed_ids_are_those_of_the_mix(stages):
+    tokenizer = load_tokenizer()
+    want = []
+    for r in stages[4].select("text").collect():
+        want.append(np.array(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids + [1], "<u4").tobytes())
+    rows = stages[5].orderBy("sequence_id", "offset").collect()
+    found, piece = [], b""
+    for r in rows:
+        assert r["start"] * 4 == len(piece)
+        piece += r["ids"]
+        if len(piece) == 4 * r["doc_tokens"]:
+            found.append(piece)
+            piece = b""
+    assert piece == b"" and sorted(found) == sorted(want)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    for name in ("documents", "labels"):
+        open_table(spark, FOLDER, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_nulls_and_more_columns_pass_every_stage(spark, tmp_path):
+    docs = open_table(spark, FOLDER, "documents").limit(40)
+    odd = spark.createDataFrame([(9001, None, None, None, None), (None, "some words here", "en", "src1", 15)], docs.schema)
+    docs.unionByName(odd).withColumns({"score": F.lit("clash"), "size": F.lit("clash")}).write.parquet(f"{tmp_path}/documents.parquet")
+    open_table(spark, FOLDER, "labels").write.parquet(f"{tmp_path}/labels.parquet")
+    assert P.run(spark, str(tmp_path)).count() > 0
