@@ -23,23 +23,34 @@ REJECT = 0.5
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is at least REJECT, learnt from the labels outside the held-out fold.
+
+    Null and empty texts are scored like others; an empty table stays empty.
+    """
     voters = fit(docs, open_table(spark, sf_dir, "labels"))
     return score(docs, voters).filter(f"score >= {REJECT}").select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (A-Z in lower case, null as empty) the row with the largest id. Rows without an id go if a copy has one."""
     return drop_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word shingles at a similarity of 0.8, directly or not, the one of the smallest id.
+
+    Texts without words and rows without an id stay.
+    """
     return one_of_each(docs, words=WORDS, percent=PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: none, one or two times. Texts without words are not taken."""
     return mixed_rows(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 ids; repeated documents are packed each time."""
     return pack(docs)
 
 
