@@ -60,11 +60,12 @@ def fingerprint(text: Column) -> Column:
         return F.array(*[_modular_sum(digests, part(k)) for k in range(EQUAL_LANES)])
 
     def of_hashes(hashes: Column) -> Column:
-        def plane(j: int):
+        def plane(j: Column) -> Column:
             # Fewer than 2**30 clauses, so the sum stays below 2**60 by itself.
-            return lambda total, h: total + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(FIELD_BITS))
+            bits = lambda h: F.call_function("shiftrightunsigned", h, j).bitwiseAND(F.lit(FIELD_BITS))
+            return F.aggregate(hashes, F.lit(0).cast("long"), lambda total, h: total + bits(h))
 
-        return F.array(*[F.aggregate(hashes, F.lit(0).cast("long"), plane(j)) for j in range(PLANES)])
+        return F.transform(F.sequence(F.lit(0), F.lit(PLANES - 1)), plane)
 
     def of_clauses(clauses: Column) -> Column:
         def hashed(k: int) -> Column:
@@ -111,7 +112,7 @@ def _signs(vector: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """How alike two fingerprints are, 0 to 1: 1 if equal, else the cosine of their sums of signs, at least 0.
 
-    A document without clauses is like none but its equals.
+    A document without clauses is like none but its equals. Null if one is null.
     """
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda total, p: total + p)
@@ -121,7 +122,8 @@ def likeness(a: Column, b: Column) -> Column:
         return F.coalesce(F.try_divide(dot(x, y), F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))), F.lit(0.0))
 
     measured = _with(F.struct(_signs(a).alias("x"), _signs(b).alias("y")), cosine)
-    return F.when(a == b, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), measured)))
+    bounded = F.when(a == b, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), measured)))
+    return F.when(a.isNotNull() & b.isNotNull(), bounded)
 
 
 def neighbours(ids: DataFrame) -> DataFrame:

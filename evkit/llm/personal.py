@@ -82,12 +82,11 @@ def _candidates(text: Column) -> Column:
 
 
 def _of_kind(text: Column, order: int, kind: str, pattern: str) -> Column:
-    spans = match_spans(text, F.lit(pattern), lambda piece: F.length(piece).cast("long"))
+    spans = match_spans(text, F.lit(pattern), lambda piece: F.length(piece).cast("long"), CONTEXT)
     return F.transform(F.filter(spans, lambda s: _valid(kind, s["found"])), lambda s: F.struct(
         F.lit(order).alias("order"), s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"),
         s["found"].alias("found"), F.lit(kind in BASE_KINDS).alias("base"),
-        F.substr(text, F.greatest(s["start"] - CONTEXT, F.lit(0)).cast("int") + 1,
-                 F.least(s["start"], F.lit(CONTEXT)).cast("int")).alias("before")))
+        s["before"].alias("before")))
 
 
 def _count(spans: str, kind: str) -> Column:

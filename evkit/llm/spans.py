@@ -8,25 +8,28 @@ from pyspark.sql import functions as F
 BLOCK = 256
 
 
-def match_spans(text: Column, pattern: Column, size) -> Column:
-    """Array of (start, end, found), one per leftmost non-overlapping match of `pattern`.
+def match_spans(text: Column, pattern: Column, size, context: int = 0) -> Column:
+    """Array of (start, end, found, before), one per leftmost non-overlapping match of `pattern`.
 
-    `size` measures a piece of text; starts and ends are sums of it. Patterns must not match the empty text.
+    `size` measures a piece of text; starts and ends are sums of it. `before` has up to `context` characters ahead of
+    the match, back to the match before it. Patterns must not match the empty text.
     The text is cut at its matches, and running sums of the pieces' sizes give the places.
     """
-    kind = "array<struct<start:bigint,end:bigint,found:string>>"
+    kind = "array<struct<start:bigint,end:bigint,found:string,before:string>>"
     empty = F.array().cast(kind)
     state = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans"))
 
     def add(s: Column, piece: Column) -> Column:
         start = s["at"] + size(piece["gap"])
         end = start + size(piece["found"])
-        span = F.struct(start.alias("start"), end.alias("end"), piece["found"].alias("found"))
+        before = F.right(piece["gap"], F.lit(context)) if context else F.lit("")
+        span = F.struct(start.alias("start"), end.alias("end"), piece["found"].alias("found"), before.alias("before"))
         return F.struct(end.alias("at"), F.concat(s["spans"], F.array(span)).alias("spans"))
 
     def shifted(sums: Column, block: Column) -> Column:
         spans = F.transform(block["spans"], lambda s: F.struct(
-            (s["start"] + sums["at"]).alias("start"), (s["end"] + sums["at"]).alias("end"), s["found"].alias("found")))
+            (s["start"] + sums["at"]).alias("start"), (s["end"] + sums["at"]).alias("end"), s["found"].alias("found"),
+            s["before"].alias("before")))
         return F.struct((sums["at"] + block["at"]).alias("at"), F.concat(sums["blocks"], F.array(spans)).alias("blocks"))
 
     def spans(args: Column) -> Column:

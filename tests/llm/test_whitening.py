@@ -92,7 +92,7 @@ def test_repeats_few_rows_and_other_lengths(spark):
     assert set(fitted) == {1, 2, 3} and len(got) == 5
     # One direction varies among the pairs, none among single or equal vectors.
     assert [len(got[k]["whitened"]) for k in sorted(got)] == [1, 1, 0, 0, 0]
-    assert got[(2, 2)]["deviation"] == (3 * 2048 - 2 * 2048) ** 2 and got[(2, 2)]["n"] == 3
+    assert got[(2, 2)]["deviation"] == (3 * 3072 - 5120) ** 2 and got[(2, 2)]["n"] == 3
     assert abs(got[(2, 2)]["whitened"][0]) == pytest.approx(math.sqrt(2))
 
 
