@@ -20,7 +20,7 @@ from evkit.llm.token_files import read_tokens, write_tokens
 from evkit.llm.vector_dedup import link_vectors
 from evkit.llm.warc import assemble, payload_bytes, read_records, write_archive
 from evkit.llm.whitening import fit_whitening, whiten
-from evkit.session import scratch_path
+from evkit.session import scratch_path, write_once
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -78,7 +78,8 @@ def op1_license_scan(spark, folder):
 def op7_warc(spark, folder):
     path = scratch_path(spark, "warc")
     write_archive(open_table(spark, folder, "pages"), path)
-    captures = assemble(read_records(spark, path))
+    # Payloads are compared with their digests as they are read; the report needs their sizes only.
+    captures = assemble(write_once(read_records(spark, path).drop("payload"), "records"))
     number = lambda name: F.regexp_extract(name, r":([^:>]*)>$", 1)
     return captures.select(
         number("capture.record_id").cast("long").alias("page_id"),
