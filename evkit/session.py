@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Sequence
 
@@ -31,10 +32,13 @@ def build_session(app_name: str = "evkit", master: str | None = None, **conf: st
 
 def scratch_root(spark: SparkSession) -> str:
     """Storage that all executors share: `spark.checkpoint.dir`, else the checkpoint folder of the
-    context, else a folder in the warehouse."""
+    context, else a folder in the warehouse. A warehouse on a local disk serves a local master only."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        house = spark.conf.get("spark.sql.warehouse.dir")
+        if house.startswith(("file:", "/")) and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to storage that all executors share")
+        base = house.rstrip("/") + "/_scratch"
     return f"{base.rstrip('/')}/evkit/{spark.sparkContext.applicationId}"
 
 

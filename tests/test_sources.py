@@ -102,15 +102,19 @@ def test_scratch_follows_the_session(spark):
 
 def test_scratch_falls_back_to_shared_folders_only():
     class Fake:
-        def __init__(self, conf, checkpoints):
+        def __init__(self, conf, checkpoints, master="yarn"):
             self.conf = type("Conf", (), {"get": lambda _, key, default=None: conf.get(key, default)})()
             self.sparkContext = type(
-                "Context", (), {"applicationId": "app", "getCheckpointDir": lambda _: checkpoints}
+                "Context", (), {"applicationId": "app", "getCheckpointDir": lambda _: checkpoints, "master": master}
             )()
 
     warehouse = {"spark.sql.warehouse.dir": "s3://house"}
     assert scratch_root(Fake(warehouse, "hdfs://own")) == "hdfs://own/evkit/app"
     assert scratch_root(Fake(warehouse, None)) == "s3://house/_scratch/evkit/app"
+    own_disk = {"spark.sql.warehouse.dir": "file:/home/me/house"}
+    assert scratch_root(Fake(own_disk, None, "local[4]")) == "file:/home/me/house/_scratch/evkit/app"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_root(Fake(own_disk, None))
 
 
 def test_opening_tables_keeps_the_settings(spark):
