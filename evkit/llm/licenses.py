@@ -1,13 +1,15 @@
 """License scan by ordered signature rules (operator 1, DataFrame functions only).
 
 A text is reduced to its words in lower case, joined by single spaces. Each rule is a regular expression over
-them with a label, a priority (its place in the list) and a keyword: it runs only on texts that hold
-the keyword. Detections of all rules are resolved by priority: one that lies within the interval of
+them with a label and a priority (its place in the list). Rules of one name form a group with the words that each of
+its matches holds: they run only on texts that have all of these. Detections of all rules are resolved by priority: one that lies within the interval of
 another is suppressed, and of equal intervals the earlier rule's stays. Base rules are reported in any case.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +63,7 @@ FAMILIES = (
 # Wordings of whole notices.
 NOTICES = (
     ("mit", "granted", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("mit", "merchantability", "the software is provided as is without warranty of any kind express or implied"),
+    ("mit", "warranty", "the software is provided as is without warranty of any kind express or implied"),
     ("isc", "fee", "permission to use copy modify and or distribute this software for any purpose with or without fee"),
     ("bsd", "binary", "redistribution and use in source and binary forms with or without modification"),
     ("apache", "compliance", "you may not use this file except in compliance with the license"),
@@ -74,19 +76,46 @@ NOTICES = (
 )
 
 
-def signature_rules() -> list[tuple[int, str, str, str]]:
-    """(priority, label, keyword, pattern): notices, then each family's explicit to plain wordings."""
-    rules = [(label, keyword, pattern) for label, keyword, pattern in NOTICES]
-    for label, keyword, name, versions in FAMILIES:
+def needed_words(pattern: str) -> list[str]:
+    """Words that every match of a pattern holds: those outside of its groups that stand between spaces."""
+
+    def without(group: re.Match) -> str:
+        inside, optional = group.groups()
+        # A dropped group must not join what is left and right of it to a word.
+        return "" if optional and (inside.startswith(" ") or inside.endswith(" ")) else "?"
+
+    before = None
+    while before != pattern:
+        before, pattern = pattern, re.sub(r"\(\?:([^()]*)\)(\??)", without, pattern)
+    return sorted({word for word in pattern.split(" ") if re.fullmatch("[a-z0-9]+", word)})
+
+
+def signature_rules() -> list[tuple[list[str], list[tuple[int, str, str]]]]:
+    """Groups (words, rules); rules are (priority, label, pattern). First come notices, then the families' explicit
+    wordings, plain names, and names with an introduction."""
+    groups = [(keyword, pattern, [(label, pattern)]) for label, keyword, pattern in NOTICES]
+    groups += [(keyword, name, []) for _, keyword, name, _ in FAMILIES]
+    families = list(zip(FAMILIES, [rules for _, _, rules in groups[len(NOTICES):]]))
+    for (label, _, name, versions), rules in families:
         for version in versions:
             major = version.replace(" ", "-")
-            rules.append((f"{label}-{major}-or-later", keyword,
+            rules.append((f"{label}-{major}-or-later",
                           f"{name}(?: as published by the free software foundation either)? v?(?:ersion )?{version} or"
                           "(?: at your option)? (?:any )?later"))
-            rules.append((f"{label}-{major}", keyword, f"{name} v?(?:ersion )?{version}"))
-    rules += [(label, keyword, name) for label, keyword, name, _ in FAMILIES]
-    rules += [(label, keyword, f"licensed under the {name}") for label, keyword, name, _ in FAMILIES]
-    return [(i, label, f" {k} ", rf"(?<= )(?:{p})(?= )") for i, (label, k, p) in enumerate(rules)]
+            rules.append((f"{label}-{major}", f"{name} v?(?:ersion )?{version}"))
+    explicit = sum(len(rules) for _, _, rules in groups)
+    table, priority = [], 0
+    for place, (keyword, pattern, rules) in enumerate(groups):
+        ordered = [(priority + i, label, x) for i, (label, x) in enumerate(rules)]
+        priority += len(rules)
+        if place >= len(NOTICES):
+            family = place - len(NOTICES)
+            label = FAMILIES[family][0]
+            ordered.append((explicit + family, label, pattern))
+            ordered.append((explicit + len(FAMILIES) + family, label, f"licensed under the {pattern}"))
+        words = sorted({keyword, *needed_words(pattern)})
+        table.append((words, [(i, name, rf"(?<= )(?:{x})(?= )") for i, name, x in ordered]))
+    return table
 
 
 def _words(piece: Column) -> Column:
@@ -103,25 +132,29 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     are replaced; an empty table gives an empty table.
     """
     parts = F.filter(F.split(lower_ascii(F.coalesce(F.col(text), F.lit(""))), NO_WORD), lambda w: w != "")
+    base = [(phrase.split(), [(i, label, f"(?<= ){phrase}(?= )")]) for i, (phrase, label) in enumerate(BASE.items())]
+    groups = signature_rules()
+    asked = F.array(*[F.lit(w) for w in sorted({w for words, _ in [*base, *groups] for w in words})])
     rows = docs.select(whole_row(docs), parts.alias("words"))
     rows = rows.select("row", F.size("words").cast("long").alias("n_words"),
-                       F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("plain"))
-
-    def rule_table(rules) -> Column:
-        return F.array(*[F.struct(F.lit(p).alias("priority"), F.lit(name).alias("label"), F.lit(k).alias("keyword"),
-                                  F.lit(x).alias("pattern")) for p, name, k, x in rules])
-
-    def detect(rules) -> Column:
-        """Spans of all rules whose keyword is a word of the text."""
-        due = F.filter(rule_table(rules), lambda r: F.contains(F.col("plain"), r["keyword"]))
-        return F.flatten(F.transform(due, lambda r: F.transform(
+                       F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("plain"),
+                       F.array_intersect("words", asked).alias("present"))
+
+    def group_table(groups) -> Column:
+        return F.array(*[F.struct(F.array(*map(F.lit, words)).alias("words"), F.array(*[F.struct(
+            F.lit(p).alias("priority"), F.lit(name).alias("label"), F.lit(x).alias("pattern"),
+        ) for p, name, x in rules]).alias("rules")) for words, rules in groups])
+
+    def detect(groups) -> Column:
+        """Spans of the rules of all groups whose words the text has."""
+        due = F.filter(group_table(groups), lambda g: F.forall(g["words"], lambda w: F.array_contains("present", w)))
+        return F.flatten(F.transform(F.flatten(F.transform(due, lambda g: g["rules"])), lambda r: F.transform(
             match_spans(F.col("plain"), r["pattern"], _words),
             lambda s: F.struct(r["priority"].alias("priority"), r["label"].alias("label"),
                                s["start"].alias("start"), s["end"].alias("end")),
         )))
 
-    base = [(i, label, f" {phrase} ", f"(?<= ){phrase}(?= )") for i, (phrase, label) in enumerate(BASE.items())]
-    rows = rows.select("row", "n_words", detect(base).alias("base"), detect(signature_rules()).alias("found"))
+    rows = rows.select("row", "n_words", detect(base).alias("base"), detect(groups).alias("found"))
     # Ordered by start, longest first, then priority: only what began earlier or there can contain a span, and of
     # those the one that reaches furthest, so one pass suffices. Among spans kept so far that is the last one.
     ordered = F.array_sort(F.transform("found", lambda s: F.struct(

@@ -9,6 +9,7 @@ from evkit.llm.licenses import scan
 from evkit.llm.ngram_join import join_near
 from evkit.llm.packing import pack
 from evkit.llm.personal import find_personal, span_text
+from evkit.llm import token_files
 from evkit.llm.token_files import decode_blocks, encode_blocks
 from evkit.llm.vector_dedup import link_vectors, nearest_cells
 
@@ -75,10 +76,28 @@ def test_blocks_round_trip(n):
     assert (decode_blocks(encode_blocks(ids)) == ids).all()
 
 
+def test_any_32_bit_ids_and_long_runs_round_trip():
+    rng = np.random.default_rng(1)
+    for ids in (rng.integers(0, 1 << 32, 4100), np.full(3000, (1 << 32) - 1), np.zeros(9000), np.tile([7, 50_000, 9], 2000)):
+        ids = ids.astype("<u4")
+        assert (decode_blocks(encode_blocks(ids)) == ids).all()
+    # Repeats cost little, and noise hardly more than itself.
+    assert sum(len(b[3]) for b in encode_blocks(np.tile([7, 50_000, 9], 2000).astype("<u4"))) < 6000 / 4
+    noise = rng.integers(0, 65536, 6000).astype("<u4")
+    assert sum(len(b[3]) for b in encode_blocks(noise)) < 2 * 6000 * 1.2
+
+
+def test_blocks_of_several_batches_round_trip(monkeypatch):
+    monkeypatch.setattr(token_files, "LANES", 2)
+    monkeypatch.setattr(token_files, "CHUNK", 2 * token_files.BLOCK)
+    ids = np.random.default_rng(2).integers(0, 50_000, 5 * token_files.BLOCK + 3).astype("<u4")
+    assert (decode_blocks(encode_blocks(ids)) == ids).all()
+
+
 def test_damaged_block_is_noticed():
-    (n, crc, payload), = encode_blocks(np.arange(50, dtype="<u4"))
+    (n, crc, digits, payload), = encode_blocks(np.arange(50, dtype="<u4"))
     with pytest.raises(ValueError):
-        decode_blocks([(n, crc ^ 1, payload)])
+        decode_blocks([(n, crc ^ 1, digits, payload)])
 
 
 def test_licenses_and_personal_data(spark):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from evkit.llm import quality as Q
 from evkit.llm.exact_dedup import drop_copies, mark_copies
-from evkit.llm.licenses import scan
+from evkit.llm.licenses import scan, signature_rules
 from evkit.llm.mixing import mix, mixed_rows
 from evkit.llm.packing import pack
 from evkit.llm.personal import find_personal, span_text
@@ -68,6 +68,33 @@ def test_lesser_licences_are_no_base_phrase(spark):
     assert "lgpl-2-1-or-later" in rows[0]["labels"] and "agpl-3" in rows[1]["labels"]
 
 
+def test_no_rule_matches_without_the_words_of_its_group():
+    """What the gate leaves out would have found nothing."""
+    rng = random.Random(5)
+    groups = signature_rules()
+    known = sorted({w for words, _ in groups for w in words}) + ["2", "0", "v3", "version 3", "or later", "two clause", "c", "1999", "style"]
+    hits = 0
+    for words, rules in groups:
+        for _, _, pattern in rules:
+            plain = re.sub(r"\(\?<= \)|\(\?= \)", "", pattern)
+            for choice in (0, -1):
+                # One wording of the rule: each group's first or last choice, optional groups left out or in.
+                text, before = plain, None
+                while before != text:
+                    before, text = text, re.sub(r"\(\?:([^()]*)\)(\??)", lambda m: "" if m[2] and choice else m[1].split("|")[choice], text)
+                text = text.replace("[0-9]{2}", "21").replace("v?", "v" if choice else "")
+                text = f" {' '.join(text.split())} "
+                assert re.search(pattern, text), (pattern, text)
+                assert set(words) <= set(text.split()), (words, text)
+    for _ in range(500):
+        text = f" {' '.join(rng.choices(known, k=60))} "
+        for words, rules in groups:
+            found = any(re.search(x, text) for _, _, x in rules)
+            hits += found
+            assert not found or set(words) <= set(text.split())
+    assert hits
+
+
 # Personal data
 
 BASE = {
