@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,16 @@ from evkit.session import write_once
 VOCABULARY = "byte_bpe_50k.json"
 # Texts encoded in one call.
 BATCH = 256
+# Pieces whose ids a task keeps, none longer than KEPT_CHARS: about 100 MB at most.
+KEPT_PIECES = 1 << 19
+KEPT_CHARS = 64
+
+# Pieces end between another sign and white space, and between a word of Latin letters and an ASCII sign: there
+# the vocabulary's own rule always ends a word, whatever stands around.
+_SPACE = " \n\r\t"
+_PIECE = re.compile(rf"[{_SPACE}]*(?:[A-Za-zÀ-ÖØ-öø-ʯ]++(?=[{_SPACE}!-/:-@\[-`{{-~])|[^{_SPACE}]+)|[{_SPACE}]+")
+# Other white space: the two notions of it may differ, so texts that hold it are encoded in one piece.
+_ODD = re.compile(rf"[^\S{_SPACE}]")
 
 
 def load_tokenizer(vocabulary: str = VOCABULARY):
@@ -27,6 +38,59 @@ def load_tokenizer(vocabulary: str = VOCABULARY):
     return Tokenizer.from_file(public_tokenizers.path(vocabulary))
 
 
+def _pieces(text: str) -> list[str]:
+    return [text] if _ODD.search(text) else _PIECE.findall(text)
+
+
+class PieceEncoder:
+    """Ids of texts, which the tokenizer finds once per piece as long as the piece is kept."""
+
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer = tokenizer
+        self.known: dict[str, bytes] = {}
+        names = tokenizer.get_vocab()
+        # Bytes of each id: names have one sign per byte.
+        self.lengths = np.zeros(max(names.values()) + 1, "int64")
+        self.lengths[list(names.values())] = [len(n) for n in names]
+
+    def _found(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4") for e in found]
+
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pieces. Those with white space before and none behind are put together into one text, whose ids
+        their lengths in bytes part again."""
+        joined = [p for p in pieces if p[0] in _SPACE and p[-1] not in _SPACE and len(p) <= KEPT_CHARS]
+        alone = list(pieces.difference(joined))
+        out = dict(zip(alone, [ids.tobytes() for ids in self._found(alone)]))
+        # The library's own time and memory grow with the length of a text, so a text is some hundred pieces.
+        for low in range(0, len(joined), 512):
+            some = joined[low : low + 512]
+            ids = self._found(["".join(some)])[0]
+            ends = np.cumsum([len(p.encode()) for p in some])
+            upto = np.cumsum(self.lengths[ids])
+            at = np.searchsorted(upto, ends) + 1
+            if not (upto[at - 1] == ends).all():
+                raise ValueError("an id crosses two pieces")
+            packed, at = ids.tobytes(), (4 * at).tolist()
+            out.update(zip(some, map(packed.__getitem__, map(slice, [0, *at], at))))
+        return out
+
+    def encode(self, texts: list[str], end: bytes) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, and `end`."""
+        parts = [_pieces(t) for t in texts]
+        wanted = set().union(*parts)
+        if len(self.known) + len(wanted) > KEPT_PIECES:
+            self.known.clear()
+        new = self._learn(wanted.difference(self.known))
+        self.known.update(new)
+        found = [b"".join(map(self.known.__getitem__, p)) + end for p in parts]
+        for piece in new:
+            if len(piece) > KEPT_CHARS:
+                del self.known[piece]
+        return found
+
+
 def encoded(docs: DataFrame, text: str, end_id: int, vocabulary: str = VOCABULARY,
             keep: tuple[str, ...] = ()) -> DataFrame:
     """`keep` plus `ids` (binary, with the end id), `n_tokens`, and the place in the input: `part` and
@@ -36,20 +100,17 @@ def encoded(docs: DataFrame, text: str, end_id: int, vocabulary: str = VOCABULAR
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = load_tokenizer(vocabulary)
+        encoder, end = PieceEncoder(load_tokenizer(vocabulary)), end_id.to_bytes(4, "little")
         part = TaskContext.get().partitionId()
         start = 0
         for frame in frames:
             for low in range(0, len(frame), BATCH):
                 some = frame.iloc[low : low + BATCH]
                 texts = [t if isinstance(t, str) else "" for t in some["text_"]]
-                rows = [
-                    np.array(e.ids + [end_id], dtype="<u4")
-                    for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-                ]
-                sizes = np.array([len(r) for r in rows], dtype="int64")
+                rows = encoder.encode(texts, end)
+                sizes = np.array([len(r) // 4 for r in rows], dtype="int64")
                 out = some.drop(columns="text_")
-                out["ids"] = [r.tobytes() for r in rows]
+                out["ids"] = rows
                 out["n_tokens"] = sizes
                 out["part"] = part
                 out["local_start"] = start + np.cumsum(sizes) - sizes
