@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evkit.llm.common import whole_row, with_new
+from evkit.llm.common import give_back, whole_row, with_new
 
 MAX_LABELLED = 4000
 TERMS = 2048
@@ -182,6 +182,7 @@ def score(docs: DataFrame, voters: Voters, text: str = "text", doc_id: str = "do
     def vote(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series(voters.scores([t if isinstance(t, str) else "" for t in batch]))
+        give_back()
 
     held = F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == HELD_OUT
     rows = docs.select(whole_row(docs), F.coalesce(held, F.lit(False)).alias("held_out"), vote(F.col(text)).alias("score"))

@@ -12,6 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evkit.llm.common import give_back
 from evkit.session import write_once
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -116,6 +117,8 @@ def encoded(docs: DataFrame, text: str, end_id: int, vocabulary: str = VOCABULAR
                 out["local_start"] = start + np.cumsum(sizes) - sizes
                 start += int(sizes.sum())
                 yield out
+        del encoder
+        give_back()
 
     rows = docs.select(*keep, F.col(text).alias("text_"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("text_").schema]
