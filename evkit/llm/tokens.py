@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import struct
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from evkit.llm import jvm
 from evkit.llm.common import give_back
 from evkit.session import write_once
 
@@ -92,6 +97,65 @@ class PieceEncoder:
         return found
 
 
+def _byte_signs() -> list[str]:
+    """The sign that stands for each byte in the names of a byte-level vocabulary."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return [chr(b) if b in plain else chr(256 + others.index(b)) for b in range(256)]
+
+
+def _kinds() -> bytes:
+    """Of each code point below U+0250: sign 0, letter 1, number 2, white space 3, or 4: for the library alone."""
+    found = bytearray()
+    for point in range(0x250):
+        group = unicodedata.category(chr(point))[0]
+        odd = group in "CZ" and point != 0x20 or point < 0x20
+        found.append(3 if chr(point) in _SPACE else 4 if odd else {"L": 1, "N": 2}.get(group, 0))
+    return bytes(found)
+
+
+def packed_vocabulary(vocabulary: str = VOCABULARY) -> bytes | None:
+    """What EncodeText reads, or None if the vocabulary is not of the one kind it knows: byte pairs by rank of bytes,
+    cut into words by the usual rule."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(vocabulary), encoding="utf-8") as file:
+        whole = json.load(file)
+    model, cut = whole["model"], whole.get("pre_tokenizer") or {}
+    known = (model.get("type") == "BPE" and not whole.get("normalizer") and not whole.get("truncation")
+             and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
+             and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix",
+                                                "ignore_merges", "byte_fallback")))
+    ids, added = model["vocab"] if known else {}, [t["content"].encode() for t in whole.get("added_tokens") or []]
+    if not known or not all(s in ids for s in _byte_signs()) or not all(t and t[0] < 128 for t in added):
+        return None
+    out = [_kinds(), struct.pack(">i", len(added))]
+    out += [struct.pack(">i", len(t)) + t for t in added]
+    out.append(struct.pack(">256i", *[ids[s] for s in _byte_signs()]))
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    out.append(struct.pack(">i", len(pairs)))
+    out += [struct.pack(">3i", ids[a], ids[b], ids[a + b]) for a, b in pairs]
+    return b"".join(out)
+
+
+# By application and vocabulary: the library of jvm.py, or None.
+_PACKED: dict[tuple[str, str], object] = {}
+
+
+def plain_ids(spark: SparkSession, text: Column, end_id: int, vocabulary: str = VOCABULARY) -> Column:
+    """Ids of texts and the end id, found in the JVM; null where only the tokenizers library knows them."""
+    key = (spark.sparkContext.applicationId, vocabulary)
+    name = f"{vocabulary}.bin"
+    if key not in _PACKED:
+        packed = packed_vocabulary(vocabulary)
+        classes = ("EncodeTextTables", "EncodeText")
+        _PACKED[key] = packed and jvm.library(spark, f"text-{vocabulary}", classes, {name: packed})
+    if not _PACKED[key]:
+        return F.lit(None).cast("binary")
+    encode = jvm.function(spark, _PACKED[key], "EncodeText", T.BinaryType())
+    return encode(F.coalesce(text, F.lit("")).cast("binary"), F.lit(end_id), F.lit(name))
+
+
 def encoded(docs: DataFrame, text: str, end_id: int, vocabulary: str = VOCABULARY,
             keep: tuple[str, ...] = ()) -> DataFrame:
     """`keep` plus `ids` (binary, with the end id), `n_tokens`, and the place in the input: `part` and
@@ -101,16 +165,22 @@ def encoded(docs: DataFrame, text: str, end_id: int, vocabulary: str = VOCABULAR
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = PieceEncoder(load_tokenizer(vocabulary)), end_id.to_bytes(4, "little")
+        encoder, end = None, end_id.to_bytes(4, "little")
         part = TaskContext.get().partitionId()
         start = 0
         for frame in frames:
             for low in range(0, len(frame), BATCH):
                 some = frame.iloc[low : low + BATCH]
-                texts = [t if isinstance(t, str) else "" for t in some["text_"]]
-                rows = encoder.encode(texts, end)
+                rows = some["found_"].tolist()
+                left = [i for i, r in enumerate(rows) if r is None]
+                if left:
+                    encoder = encoder or PieceEncoder(load_tokenizer(vocabulary))
+                    texts = some["text_"].iloc[left]
+                    texts = [t if isinstance(t, str) else "" for t in texts]
+                    for i, row in zip(left, encoder.encode(texts, end)):
+                        rows[i] = row
                 sizes = np.array([len(r) // 4 for r in rows], dtype="int64")
-                out = some.drop(columns="text_")
+                out = some.drop(columns=["text_", "found_"])
                 out["ids"] = rows
                 out["n_tokens"] = sizes
                 out["part"] = part
@@ -121,7 +191,10 @@ def encoded(docs: DataFrame, text: str, end_id: int, vocabulary: str = VOCABULAR
         give_back()
 
     rows = docs.select(*keep, F.col(text).alias("text_"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("text_").schema]
+    rows = rows.withColumn("found_", plain_ids(docs.sparkSession, F.col("text_"), end_id, vocabulary))
+    # Texts whose ids are found stay behind.
+    rows = rows.withColumn("text_", F.when(F.col("found_").isNull(), F.col("text_")))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("text_", "found_").schema]
     fields += ["ids binary", "n_tokens long", "part int", "local_start long"]
     return rows.mapInPandas(run, ", ".join(fields))
 

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from evkit.llm import tokens
 from evkit.llm.tokens import PieceEncoder, load_tokenizer
@@ -59,3 +60,40 @@ def test_a_piece_is_found_once_and_long_ones_are_not_kept(tokenizer):
         encoder.encode([f"one two two, {long}", "two one one"], END)
     assert sum(t.count(" two") for t in seen) == 1 and sum(t.count(" one") for t in seen) == 1
     assert sum(long in t for t in seen) == 3 and not any(long in p for p in encoder.known)
+
+
+def test_the_jvm_finds_the_ids_of_the_library(spark, tokenizer):
+    rng = random.Random(6)
+    signs = ["a", "B", "é", "ñ", "×", "²", "3", "'", "'s", "'ll", "'re", ".", ",", "!", "%%", " ", "  ", "\n", "\r\n",
+             "\t", "the", " word", "ſ", "ǅ", "¼", "x" * 70, "\xa0", "\x0b", "漢", "<|endoftext|>"]
+    texts = ["", " ", "\n\n", "word", " word ", "x" * 20_000, "abc" * 5000, None]
+    texts += ["".join(rng.choices(signs[: rng.choice([26, 30])], k=rng.randint(1, 40))) for _ in range(3000)]
+    points = [chr(c) for c in range(0x300) if chr(c) != "\x00"]
+    texts += [f"{c}, a{c} {c}  b{c}.{c}\n {c}1{c}" for c in points]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(2)
+    rows = docs.select("i", tokens.plain_ids(spark, F.col("text"), 1).alias("ids")).collect()
+    found = {r["i"]: r["ids"] for r in rows if r["ids"] is not None}
+    assert all(bytes(ids) == plain(tokenizer, texts[i] or "") for i, ids in found.items())
+    # Left to the library: texts with signs of which the two may think otherwise, and no others.
+    odd = [t or "" for i, t in enumerate(texts) if i not in found]
+    assert len(found) > 2000 and odd
+    assert all("<|endoftext|>" in t or any(ord(c) >= 0x250 or not c.isprintable() and c not in "\n\r\t" for c in t) for t in odd)
+    # Both ways together, in their places.
+    rows = tokens.encoded(docs, "text", 1, keep=("i",)).collect()
+    assert {r["i"]: bytes(r["ids"]) for r in rows} == {i: plain(tokenizer, t or "") for i, t in enumerate(texts)}
+    for part in {r["part"] for r in rows}:
+        own = sorted((r["local_start"], r["n_tokens"]) for r in rows if r["part"] == part)
+        assert [s for s, _ in own] == [0, *np.cumsum([n for _, n in own])[:-1]]
+
+
+def test_a_vocabulary_of_another_kind_is_left_to_the_library(monkeypatch, tmp_path):
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path(tokens.VOCABULARY), encoding="utf-8") as file:
+        whole = json.load(file)
+    whole["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(whole), encoding="utf-8")
+    monkeypatch.setattr(public_tokenizers, "path", lambda name: str(tmp_path / name))
+    assert tokens.packed_vocabulary("other.json") is None
